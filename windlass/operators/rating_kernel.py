@@ -7,15 +7,12 @@ are updated together, which gives the same result as one race at a time.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 
-from windlass.functions.rating_math import DEFAULT, RatingParams
-
-_erf = np.frompyfunc(math.erf, 1, 1)
+from windlass.functions.rating_math import _HART_DEN, _HART_NUM, DEFAULT, RatingParams
 
 
 @dataclass(frozen=True)
@@ -56,30 +53,41 @@ def _padded(values: np.ndarray, row: np.ndarray, col: np.ndarray, shape) -> np.n
     return out
 
 
+def _normal_cdf(x: np.ndarray) -> np.ndarray:
+    a = np.minimum(np.abs(x), 38.0)
+    body = np.exp(-0.5 * a * a)
+    near = body * np.polyval(_HART_NUM, a) / np.polyval(_HART_DEN, a)
+    tail = a + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        tail = a + k / tail
+    upper = np.where(a < 7.07106781186547, near, body / (tail * 2.506628274631))
+    return np.where(x > 0, 1.0 - upper, upper)
+
+
 def _predicted_places(
     mu: np.ndarray, var: np.ndarray, row: np.ndarray, col: np.ndarray, counts: np.ndarray,
-    beta: float, block: int = 512,
+    beta: float, cells: int = 4_000_000,
 ) -> np.ndarray:
-    """Place by mean chance of beating each rival, computed in column blocks."""
+    """Place by mean chance of beating each rival, in blocks of bounded memory."""
     shape = (len(counts), int(counts.max()))
     m, v = _padded(mu, row, col, shape), _padded(var, row, col, shape)
     real = np.arange(shape[1])[None, :] < counts[:, None]
     chance = np.zeros(shape)
     noise = (counts * beta * beta)[:, None, None]
+    block = max(1, cells // (shape[0] * shape[1]))
     for lo in range(0, shape[1], block):
         hi = min(lo + block, shape[1])
         gap = m[:, :, None] - m[:, None, lo:hi]
         z = gap / np.sqrt(noise + v[:, :, None] + v[:, None, lo:hi])
-        p = 0.5 * (1.0 + _erf(z / math.sqrt(2.0)).astype(float))
-        chance += (p * real[:, None, lo:hi]).sum(axis=2)
+        chance += (_normal_cdf(z) * real[:, None, lo:hi]).sum(axis=2)
     # The chance against oneself is one half for everybody and changes nothing.
-    chance = np.where(real, np.round(chance, 12), -1.0)
-    order = np.sort(-chance, axis=1)
-    places = np.empty(len(mu), dtype=np.int64)
-    mine = -chance[row, col]
-    for r in range(shape[0]):
-        here = row == r if shape[0] > 1 else slice(None)
-        places[here] = np.searchsorted(order[r], mine[here], side="left") + 1
+    mine = np.round(chance[row, col], 12)
+    order = np.lexsort((-mine, row))
+    first = _starts(row[order], mine[order])
+    size = np.diff(np.r_[first, len(mine)])
+    race_first = np.r_[0, np.cumsum(counts)[:-1]]
+    places = np.empty(len(mine), dtype=np.int64)
+    places[order] = np.repeat(first, size) - race_first[row[order]] + 1
     return places
 
 
