@@ -58,8 +58,9 @@ def rate_races(
 ) -> DataFrame:
     """players: race_keys.., team, rank, mu, sigma -> adds mu1, sigma1.
 
-    `single`: every team is one player, which saves a grouping. `spread`: sum
-    over rank buckets, for races too large for one window.
+    Races with fewer than two teams are left out. `single`: every team is one
+    player, which saves a grouping. `spread`: sum over rank buckets, for races
+    too large for one window.
     """
     keys = list(race_keys)
     var = F.col("sigma") * F.col("sigma") + F.lit(params.tau**2)
@@ -73,8 +74,9 @@ def rate_races(
         )
     if spread:
         totals = teams.groupBy(*keys).agg(
-            F.sqrt(F.sum(F.col("tv") + beta2)).alias("c"), F.max("tm").alias("top")
-        )
+            F.sqrt(F.sum(F.col("tv") + beta2)).alias("c"), F.max("tm").alias("top"),
+            F.count("*").alias("n"),
+        ).filter("n > 1").drop("n")
         teams = teams.join(totals, keys).withColumn(
             "e", F.exp((F.col("tm") - F.col("top")) / F.col("c"))
         )
@@ -89,7 +91,9 @@ def rate_races(
             teams.withColumns({
                 "c": F.sqrt(F.sum(F.col("tv") + beta2).over(race)),
                 "top": F.max("tm").over(race), "a": F.count("*").over(same),
+                "n": F.count("*").over(race),
             })
+            .filter("n > 1")
             .withColumn("e", F.exp((F.col("tm") - F.col("top")) / F.col("c")))
             .withColumn("s", F.sum("e").over(after))
             .withColumns({

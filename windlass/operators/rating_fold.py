@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from windlass.operators.graph import connected_components
 from windlass.operators.one_race import rate_races
 from windlass.operators.rating_kernel import FoldOptions, fold_group
-from windlass.session import scratch_path
+from windlass.session import cut_lineage, scratch_path
 
 MAX_GROUP_ROWS = 1_000_000
 BUCKETS = 4096
@@ -91,6 +91,7 @@ def fold_ratings(
 ) -> DataFrame:
     """Rows of `rateable` with mu0, sigma0, mu1, sigma1 and predicted place."""
     options = options or FoldOptions()
+    rows = cut_lineage(rows)
     biggest = rows.groupBy("pool").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if biggest <= max_group_rows:
         return _rate(_with_state(rows, state, options), ["pool"], options)

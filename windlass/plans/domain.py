@@ -198,3 +198,95 @@ members AS (
   WHERE a IS NOT NULL AND b IS NOT NULL)
 """
 )
+
+
+# A fixed rating per (pool, sailor), so the rank and team queries have an
+# exact SQL form: only sailors that compete in a pool have a row.
+POOL_INDEX = {p: i for i, p in enumerate(["sr", "cr", "wsr", "wcr", "tsr", "tcr", "wtsr", "wtcr"])}
+
+
+def pool_members(fleet: DataFrame, members: DataFrame) -> DataFrame:
+    from windlass.plans.unify import fleet_women, match_women, pool_name
+
+    a = fleet.select("regatta", "pos", "key").distinct().join(fleet_women(fleet), "regatta").select(
+        pool_name(F.col("womens"), False, F.col("pos")).alias("pool"), "key"
+    )
+    b = members.select("regatta", "pos", "key").distinct().join(
+        match_women(members), "regatta"
+    ).select(pool_name(F.col("womens"), True, F.col("pos")).alias("pool"), "key")
+    return a.unionByName(b).distinct()
+
+
+def static_state(spark: SparkSession, sf_dir: str, fleet: DataFrame, members: DataFrame) -> DataFrame:
+    index = F.create_map(*[F.lit(x) for pair in POOL_INDEX.items() for x in pair])[F.col("pool")]
+    n = F.col("s_suppkey")
+    return pool_members(fleet, members).join(
+        sailors(spark, sf_dir).select("key", "s_suppkey"), "key"
+    ).select(
+        "pool", "key", (20 + ((n * 7 + index * 13) % 97) / 8.0).alias("mu"),
+        (2 + ((n + index * 3) % 10) / 4.0).alias("sigma"),
+    )
+
+
+def people(spark: SparkSession, sf_dir: str, fleet: DataFrame) -> DataFrame:
+    """Sailors with teams, seasons per position, exposure and finish ratios."""
+    from windlass.operators.exposure import exposure, merge_regions
+    from windlass.plans.history import finish_ratio
+    from windlass.plans.rollups import people_table
+
+    keys = ["race", "pos"]
+    scored = fleet.filter("score is not null")
+    seen = exposure(merge_regions(finish_ratio(scored, keys), REGION_ALIAS), keys)
+    n = F.col("s_suppkey")
+    second = F.when(n % 7 == 0, F.concat(F.lit("NATION_"), (n % 25).cast("string")))
+    dim = sailors(spark, sf_dir).withColumn(
+        "teams", F.array_distinct(F.array_compact(F.array("team", second)))
+    ).select("key", "name", "gender", "year", "team", "teams")
+    return people_table(fleet, seen, dim)
+
+
+ALL_SQL = (
+    ENTRIES_SQL.rstrip() + "," + MATCHES_SQL[MATCHES_SQL.index("sided AS"):].rstrip() + """,
+fw AS (SELECT regatta, count(*) FILTER (gender = 'F') >= 4 AND count(*) FILTER (gender = 'M') = 0 AS w
+  FROM (SELECT DISTINCT regatta, pos, key, gender FROM entries) GROUP BY 1),
+mw AS (SELECT regatta, count(*) FILTER (gender = 'F') >= 4 AND count(*) FILTER (gender = 'M') = 0 AS w
+  FROM members GROUP BY 1),
+pm AS (SELECT DISTINCT CASE WHEN w THEN 'w' ELSE '' END || CASE WHEN pos = 'Skipper' THEN 'sr' ELSE 'cr' END AS pool,
+    key FROM entries JOIN fw USING (regatta)
+  UNION SELECT DISTINCT CASE WHEN w THEN 'w' ELSE '' END || 't'
+    || CASE WHEN pos = 'Skipper' THEN 'sr' ELSE 'cr' END, key FROM members JOIN mw USING (regatta)),
+state AS (SELECT pool, key, 20 + ((s_suppkey * 7 + i * 13) % 97) / 8.0 AS mu,
+    2 + ((s_suppkey + i * 3) % 10) / 4.0 AS sigma
+  FROM pm JOIN sailors USING (key) JOIN (VALUES ('sr', 0), ('cr', 1), ('wsr', 2), ('wcr', 3), ('tsr', 4),
+    ('tcr', 5), ('wtsr', 6), ('wtcr', 7)) v(pool, i) USING (pool)),
+scored AS (SELECT race, pos, key, score, CASE WHEN region = 'ASIA' THEN 'AMERICA' ELSE region END AS region,
+    count(*) OVER (PARTITION BY race, pos) AS field FROM entries WHERE score IS NOT NULL),
+kinds AS (SELECT race, pos, count(DISTINCT coalesce(region, '?')) > 1 AS crossed, count(region) AS known
+  FROM scored GROUP BY 1, 2),
+exposed AS (SELECT s.race, s.pos, s.key, CAST(crossed AS INTEGER) AS is_cross,
+    CASE WHEN crossed AND s.region IS NOT NULL
+         THEN known - count(*) OVER (PARTITION BY s.race, s.pos, s.region) ELSE 0 END AS out_links,
+    1 - (score - 1) / nullif(field - 1.0, 0) AS ratio
+  FROM scored s JOIN kinds k ON s.race = k.race AND s.pos = k.pos),
+tot AS (SELECT key, count(*) AS races, sum(is_cross) AS cross_races, sum(out_links) AS out_links,
+    avg(CASE WHEN pos = 'Skipper' THEN ratio END) AS skipper_ratio,
+    avg(CASE WHEN pos = 'Crew' THEN ratio END) AS crew_ratio FROM exposed GROUP BY key),
+seas AS (SELECT key, list_sort(list(DISTINCT season) FILTER (pos = 'Skipper')) AS skipper_seasons,
+    list_sort(list(DISTINCT season) FILTER (pos = 'Crew')) AS crew_seasons FROM entries GROUP BY key),
+people AS (SELECT s.key, name, gender, year, team,
+    CASE WHEN s_suppkey % 7 = 0 AND 'NATION_' || (s_suppkey % 25) <> team
+         THEN [team, 'NATION_' || (s_suppkey % 25)] ELSE [team] END AS teams,
+    coalesce(skipper_seasons, []) AS skipper_seasons, coalesce(crew_seasons, []) AS crew_seasons,
+    coalesce(races, 0) AS races, coalesce(cross_races, 0) AS cross_races,
+    coalesce(out_links, 0) AS out_links, skipper_ratio, crew_ratio,
+    CASE WHEN contains(year, ' ') THEN 2000 + CAST(split_part(year, ' ', 1) AS INTEGER)
+         ELSE CAST(year AS INTEGER) END AS grad
+  FROM sailors s LEFT JOIN seas USING (key) LEFT JOIN tot USING (key)),
+ps AS (SELECT *, CASE WHEN pool LIKE '%sr' THEN skipper_seasons ELSE crew_seasons END AS place
+  FROM state JOIN people USING (key)),
+ranked AS (SELECT *, CASE WHEN pool LIKE '%t%' THEN list_has_any(place, ['s01'])
+      ELSE list_has_any(place, ['f00', 's01']) AND out_links > 70 END AND grad > 2022 AS ok FROM ps),
+ranks AS (SELECT *, CASE WHEN ok THEN row_number() OVER (PARTITION BY pool, ok ORDER BY mu - 3 * sigma DESC, key)
+      ELSE 0 END AS rank FROM ranked)
+"""
+)
