@@ -207,7 +207,7 @@ def fixed_size_batches(spark, sf, size=5):
     "user_sessions", "F12 I09",
     """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w > INTERVAL 12 HOUR THEN 1 ELSE 0 END
         AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-    SELECT user_id, sum(gap) + 1 AS sessions, count(*) AS events FROM g GROUP BY user_id""",
+    SELECT user_id, CAST(sum(gap) + 1 AS BIGINT) AS sessions, count(*) AS events FROM g GROUP BY user_id""",
 )
 def user_sessions(spark, sf):
     """Gaps of more than 12 hours, scanned in day chunks."""
