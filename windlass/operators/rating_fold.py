@@ -12,12 +12,14 @@ larger than a group is a block of its own, rated by distributed prefix sums.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windlass.operators.classic_kernel import ClassicOptions, classic_group
 from windlass.operators.graph import connected_components
 from windlass.operators.one_race import rate_races
 from windlass.operators.rating_kernel import FoldOptions, fold_group
@@ -27,10 +29,48 @@ MAX_GROUP_ROWS = 1_000_000
 BUCKETS = 4096
 
 ROW = ["pool", "seq", "race", "team", "line", "rank", "key"]
-RATED = (
-    "pool string, seq bigint, race string, team bigint, line bigint, rank double, key string, "
-    "mu0 double, sigma0 double, mu1 double, sigma1 double, predicted bigint"
-)
+
+
+@dataclass(frozen=True)
+class FoldSpec:
+    """A rating rule: what it reads per row, keeps per sailor, and computes."""
+
+    kernel: Callable[[pd.DataFrame], pd.DataFrame]
+    inputs: tuple[str, ...]
+    output: str
+    # State column -> (value of a new sailor, output column that replaces it).
+    state: dict[str, tuple[float | None, str]]
+    # Rates one race that is larger than a group; None keeps it in one group.
+    large_race: Callable[[DataFrame], DataFrame] | None = None
+
+
+def plackett_luce(options: FoldOptions) -> FoldSpec:
+    p = options.params
+    return FoldSpec(
+        kernel=partial(fold_group, options=options), inputs=(*ROW, "weight"),
+        output=(
+            "pool string, seq bigint, race string, team bigint, line bigint, rank double, "
+            "key string, mu0 double, sigma0 double, mu1 double, sigma1 double, predicted bigint"
+        ),
+        state={"mu": (p.mu, "mu1"), "sigma": (p.sigma, "sigma1")},
+        large_race=partial(_rate_large_race, options=options),
+    )
+
+
+def classic(options: ClassicOptions) -> FoldSpec:
+    """Elo forms and Glicko-2; rows come from `classic_rows`."""
+    return FoldSpec(
+        kernel=partial(classic_group, options=options),
+        inputs=("pool", "seq", "race", "line", "key", "partner", "score", "result", "period"),
+        output=(
+            "pool string, seq bigint, race string, line bigint, key string, rating0 double, "
+            "rating1 double, rd1 double, vol1 double, period1 double"
+        ),
+        state={
+            "rating": (options.initial, "rating1"), "rd": (options.rd, "rd1"),
+            "vol": (options.vol, "vol1"), "last_period": (None, "period1"),
+        },
+    )
 
 
 def rateable(
@@ -55,30 +95,37 @@ def rateable(
     return rows.join(valid, ["pool", "seq"], "left_semi")
 
 
-def _with_state(rows: DataFrame, state: DataFrame | None, options: FoldOptions) -> DataFrame:
-    p = options.params
+def _with_state(rows: DataFrame, state: DataFrame | None, spec: FoldSpec) -> DataFrame:
+    first = {c: F.lit(v).cast("double") for c, (v, _) in spec.state.items()}
     if state is None:
-        return rows.withColumns({"mu": F.lit(p.mu), "sigma": F.lit(p.sigma)})
-    joined = rows.join(state.select("pool", "key", "mu", "sigma"), ["pool", "key"], "left")
-    return joined.withColumns({
-        "mu": F.coalesce("mu", F.lit(p.mu)), "sigma": F.coalesce("sigma", F.lit(p.sigma))
-    })
+        return rows.withColumns(first)
+    joined = rows.join(state.select("pool", "key", *spec.state), ["pool", "key"], "left")
+    return joined.withColumns({c: F.coalesce(c, v) for c, v in first.items()})
 
 
-def _rate(rows: DataFrame, groups: list[str], options: FoldOptions) -> DataFrame:
-    cols = [*ROW, "weight", "mu", "sigma"]
-    kernel: Callable[[pd.DataFrame], pd.DataFrame] = partial(fold_group, options=options)
+def _rate(rows: DataFrame, groups: list[str], spec: FoldSpec) -> DataFrame:
     keys = [F.col(g).alias(f"_g_{g}") for g in groups]
-    grouped = rows.select(*keys, *cols).groupBy(*[f"_g_{g}" for g in groups])
-    return grouped.applyInPandas(kernel, RATED)
+    grouped = rows.select(*keys, *spec.inputs, *spec.state).groupBy(*[f"_g_{g}" for g in groups])
+    kernel = spec.kernel
+
+    def rate(pdf: pd.DataFrame) -> pd.DataFrame:
+        return kernel(pdf)
+
+    return grouped.applyInPandas(rate, spec.output)
 
 
-def final_state(rated: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def final_state(
+    rated: DataFrame, state: DataFrame | None = None, spec: FoldSpec | None = None
+) -> DataFrame:
     """Latest rating per (pool, key); `seen` is the last race's seq."""
+    spec = spec or plackett_luce(FoldOptions())
     after = rated.groupBy("pool", "key").agg(
-        F.max_by(F.struct("mu1", "sigma1"), F.struct("seq", "line")).alias("_s"),
+        F.max_by(
+            F.struct(*[F.col(o).alias(c) for c, (_, o) in spec.state.items()]),
+            F.struct("seq", "line"),
+        ).alias("_s"),
         F.max("seq").alias("seen"),
-    ).select("pool", "key", F.col("_s.mu1").alias("mu"), F.col("_s.sigma1").alias("sigma"), "seen")
+    ).select("pool", "key", "_s.*", "seen")
     if state is None:
         return after
     kept = state.join(after, ["pool", "key"], "left_anti")
@@ -86,16 +133,17 @@ def final_state(rated: DataFrame, state: DataFrame | None = None) -> DataFrame:
 
 
 def fold_ratings(
-    rows: DataFrame, options: FoldOptions | None = None, state: DataFrame | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    rows: DataFrame, options: FoldOptions | FoldSpec | None = None,
+    state: DataFrame | None = None, max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Rows of `rateable` with mu0, sigma0, mu1, sigma1 and predicted place."""
-    options = options or FoldOptions()
+    """Rate `rows` in seq order; the default rule is Plackett-Luce on rows of
+    `rateable`, adding mu0, sigma0, mu1, sigma1 and the predicted place."""
+    spec = options if isinstance(options, FoldSpec) else plackett_luce(options or FoldOptions())
     rows = cut_lineage(rows)
     biggest = rows.groupBy("pool").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if biggest <= max_group_rows:
-        return _rate(_with_state(rows, state, options), ["pool"], options)
-    return _fold_in_blocks(rows, options, state, max_group_rows)
+        return _rate(_with_state(rows, state, spec), ["pool"], spec)
+    return _fold_in_blocks(rows, spec, state, max_group_rows)
 
 
 def _bucket_counts(rows: DataFrame, low: int, high: int) -> list[tuple[int, int, int]]:
@@ -123,7 +171,7 @@ def _components(block: DataFrame) -> DataFrame:
 
 
 def _fold_in_blocks(
-    rows: DataFrame, options: FoldOptions, state: DataFrame | None, max_group_rows: int
+    rows: DataFrame, spec: FoldSpec, state: DataFrame | None, max_group_rows: int
 ) -> DataFrame:
     spark: SparkSession = rows.sparkSession
     log_path, out_path = scratch_path(spark, "fold-log"), scratch_path(spark, "fold-out")
@@ -149,9 +197,13 @@ def _fold_in_blocks(
             last, size = nxt[1], size + nxt[2]
         block = log.filter(F.col("seq").between(first, last))
         if size <= max_group_rows:
-            done = _rate(_with_state(block, state, options), ["pool"], options)
+            done = _rate(_with_state(block, state, spec), ["pool"], spec)
         elif len(taken) == 1:
-            done = _rate_large_race(_with_state(block, state, options), options)
+            with_state = _with_state(block, state, spec)
+            done = (
+                spec.large_race(with_state) if spec.large_race
+                else _rate(with_state, ["pool"], spec)
+            )
         else:
             linked = spark.read.parquet(_stored(_components(block), "components"))
             tagged = block.join(linked, ["pool", "key"])
@@ -163,11 +215,11 @@ def _fold_in_blocks(
                 todo.extend(taken[::-1])
                 target = max(size // 2, max_group_rows)
                 continue
-            done = _rate(_with_state(tagged, state, options), ["pool", "component"], options)
+            done = _rate(_with_state(tagged, state, spec), ["pool", "component"], spec)
             target = min(target * 2, cap)
         path = f"{out_path}/block={number}"
         done.write.parquet(path)
-        state = spark.read.parquet(_stored(final_state(spark.read.parquet(path), state), "state"))
+        state = spark.read.parquet(_stored(final_state(spark.read.parquet(path), state, spec), "state"))
         number += 1
     return spark.read.parquet(out_path).drop("block")
 
@@ -193,3 +245,17 @@ def _rate_large_race(rows: DataFrame, options: FoldOptions) -> DataFrame:
 def skip_seen(rows: DataFrame, rated: DataFrame) -> DataFrame:
     """Rows not rated before, by (pool, race, key): a re-run adds nothing."""
     return rows.join(rated.select("pool", "race", "key").distinct(), ["pool", "race", "key"], "left_anti")
+
+
+def classic_rows(
+    entries: DataFrame, pool: Column, score: Column, result: Column, period: Column,
+    partner: Column | None = None,
+) -> DataFrame:
+    """Fold input of the Elo and Glicko rules: seq, race, key and a score."""
+    none = F.lit(None).cast("string")
+    return entries.select(
+        pool.alias("pool"), "seq", "race", F.xxhash64("key").alias("line"), "key",
+        (none if partner is None else partner).alias("partner"),
+        score.cast("double").alias("score"), result.cast("double").alias("result"),
+        period.cast("double").alias("period"),
+    ).filter("score is not null and key is not null")

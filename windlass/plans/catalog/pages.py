@@ -45,7 +45,7 @@ def page_links(spark, sf):
         WHEN '3' THEN '1 Division' WHEN '4' THEN 'Combined' ELSE 'Team' END AS scoring FROM orders)""",
 )
 def season_index(spark, sf):
-    return fleet.season_index(rendered.season_index_pages(spark, sf))
+    return fleet.season_index(cut_lineage(rendered.season_index_pages(spark, sf)))
 
 
 @query(
@@ -56,7 +56,7 @@ def season_index(spark, sf):
         OR (o_orderstatus <> 'F' AND date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-06-30') <= 14))""",
 )
 def fleet_fetch_list(spark, sf, today="2001-06-30"):
-    index = fleet.season_index(rendered.season_index_pages(spark, sf)).filter("season = 's01'")
+    index = fleet.season_index(cut_lineage(rendered.season_index_pages(spark, sf))).filter("season = 's01'")
     seen = table(spark, sf, "lineitem").filter("l_linenumber >= 3").select(
         F.concat(F.lit("s01/r"), F.col("l_orderkey").cast("string")).alias("regatta"),
         F.lit(True).alias("seen"),
@@ -73,7 +73,7 @@ def fleet_fetch_list(spark, sf, today="2001-06-30"):
     _SCORES + " SELECT regatta, venue, team, team_link, boat, div, 2 AS races, race_no, score FROM sc",
 )
 def fleet_scores(spark, sf):
-    pages = rendered.fleet_pages(spark, sf)
+    pages = cut_lineage(rendered.fleet_pages(spark, sf))
     return fleet.score_rows(pages.select("regatta", F.col("scores").alias("html")))
 
 
@@ -87,7 +87,7 @@ def fleet_scores(spark, sf):
       CASE WHEN nm || sfx = 'Ska' AND n % 10 <> 0 THEN 'sk-' || n END AS link, range FROM d, p""",
 )
 def fleet_sailors(spark, sf):
-    pages = rendered.fleet_pages(spark, sf)
+    pages = cut_lineage(rendered.fleet_pages(spark, sf))
     return fleet.sailor_rows(pages.select("regatta", F.col("sailors").alias("html")))
 
 
@@ -107,9 +107,11 @@ def fleet_sailors(spark, sf):
 )
 def fleet_entries_from_pages(spark, sf):
     pages = cut_lineage(rendered.fleet_pages(spark, sf))
-    scores = fleet.score_rows(pages.select("regatta", F.col("scores").alias("html")))
-    people = fleet.sailor_rows(pages.select("regatta", F.col("sailors").alias("html")))
-    return fleet.resolve_conflicts(fleet.fleet_entries(scores, people)).select(
+    # Parsed once each: the joins below read them more than once.
+    scores = cut_lineage(fleet.score_rows(pages.select("regatta", F.col("scores").alias("html"))))
+    people = cut_lineage(fleet.sailor_rows(pages.select("regatta", F.col("sailors").alias("html"))))
+    entries = cut_lineage(fleet.fleet_entries(scores, people))
+    return fleet.resolve_conflicts(entries).select(
         "race_id", "name", "pos", "score", "link", "year", "team", "venue", "partner", "partner_link"
     )
 
@@ -134,7 +136,8 @@ _MATCH_ORDERS = _BOATS + """, o AS (SELECT k FROM d GROUP BY k HAVING count(*) F
 
 
 def _match_pages(spark, sf, column):
-    return rendered.match_pages(spark, sf).select("regatta", F.col(column).alias("html"))
+    pages = cut_lineage(rendered.match_pages(spark, sf))
+    return pages.select("regatta", F.col(column).alias("html"))
 
 
 @query(
@@ -213,7 +216,8 @@ def matches_from_pages(spark, sf):
         return pages.select("regatta", F.col(c).alias("html"))
 
     rows = match.assemble_matches(
-        match.match_rows(html("races")), match.rotation_sailors(html("rotation")),
+        cut_lineage(match.match_rows(html("races"))),
+        cut_lineage(match.rotation_sailors(html("rotation"))),
         match.report_sailors(html("report")), match.report_teams(html("report")),
         match.rotation_teams(html("rotation")),
     )
