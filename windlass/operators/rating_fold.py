@@ -77,22 +77,18 @@ def rateable(
     entries: DataFrame, pool: Column, rank: Column, team: Column | None = None,
     line: Column | None = None, weight: Column | None = None,
 ) -> DataFrame:
-    """Standard fold input: rows of races with at least two ranked teams.
+    """Standard fold input: ranked rows. Races with a single team stay
+    unrated, which the rating rule itself sees to.
 
     Needs columns seq, race, key. Without `team` every row is its own team.
     """
     line = F.xxhash64("key") if line is None else line
-    rows = entries.select(
+    return entries.select(
         pool.alias("pool"), "seq", "race",
         (F.xxhash64("key", line) if team is None else team.cast("bigint")).alias("team"),
         line.cast("bigint").alias("line"), rank.cast("double").alias("rank"), "key",
         (F.lit(1.0) if weight is None else weight).alias("weight"),
     ).filter("rank is not null and key is not null")
-    # Two different teams exist exactly when least and greatest differ.
-    valid = rows.groupBy("pool", "seq").agg(
-        F.min("team").alias("_a"), F.max("team").alias("_b")
-    ).filter("_a < _b").select("pool", "seq")
-    return rows.join(valid, ["pool", "seq"], "left_semi")
 
 
 def _with_state(rows: DataFrame, state: DataFrame | None, spec: FoldSpec) -> DataFrame:

@@ -91,6 +91,10 @@ def _predicted_places(
     return places
 
 
+OUTPUT = ["pool", "seq", "race", "team", "line", "rank", "key",
+          "mu0", "sigma0", "mu1", "sigma1", "predicted"]
+
+
 def fold_group(rows: pd.DataFrame, options: FoldOptions) -> pd.DataFrame:
     """Rate all races of one group.
 
@@ -100,12 +104,14 @@ def fold_group(rows: pd.DataFrame, options: FoldOptions) -> pd.DataFrame:
     p = options.params
     rows = rows.sort_values(["seq", "race", "rank", "team", "line"], kind="stable")
     race, _ = pd.factorize(rows["race"])
+    # A race needs two teams.
+    many = np.bincount(race[_starts(race, rows["team"].to_numpy())]) > 1
+    rows, race = rows[many[race]], pd.factorize(race[many[race]])[0]
+    if rows.empty:
+        return pd.DataFrame(columns=OUTPUT)
     player, keys = pd.factorize(rows["key"])
     wave = waves(race, player)
-    teams_before = rows["team"].to_numpy()
-    team_start = _starts(race, teams_before)
-    race_of_team = race[team_start]
-    teams_per_race = np.bincount(race_of_team)
+    teams_per_race = np.bincount(race[_starts(race, rows["team"].to_numpy())])
     # Races of similar size share a padded matrix.
     size_class = np.ceil(np.log2(np.maximum(teams_per_race, 2))).astype(int)[race]
     order = np.lexsort((np.arange(len(rows)), size_class, wave))
@@ -189,7 +195,7 @@ def fold_group(rows: pd.DataFrame, options: FoldOptions) -> pd.DataFrame:
             places = _predicted_places(tm, tv, row, col, counts, p.beta)
             predicted[r0:r1] = np.repeat(places, size)
 
-    out = rows[["pool", "seq", "race", "team", "line", "rank", "key"]].copy()
+    out = rows[OUTPUT[:7]].copy()
     out["mu0"], out["sigma0"], out["mu1"], out["sigma1"] = mu0, sigma0, mu1, sigma1
     out["predicted"] = pd.Series(predicted, dtype="Int64").where(predicted > 0)
     return out

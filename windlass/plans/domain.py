@@ -7,12 +7,12 @@ for women and one open, so the women's rating pools are used too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windlass.functions import ids
 from windlass.operators.dedup import keep_last
-from windlass.operators.groups import HOT_GROUP_ROWS, hot_groups, rank_in_group
+from windlass.operators.groups import HOT_GROUP_ROWS, attach, hot_groups, rank_in_group
 
 URGENT = ["1-URGENT", "2-HIGH"]
 REGION_ALIAS = {"ASIA": "AMERICA"}
@@ -33,27 +33,45 @@ def team_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sailors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sailor dimension: every tenth sailor has no page link and no gender."""
-    supplier = table(spark, sf_dir, "supplier")
+def _join_sailors(df: DataFrame, spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Adds the supplier's sailor columns. The three tables are joined one by
+    one: the planner then knows each size and broadcasts what is small."""
+    supplier = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", "s_name", "s_nationkey", "s_acctbal"
+    )
     nation = table(spark, sf_dir, "nation")
+    region = table(spark, sf_dir, "region")
     n = F.col("s_suppkey")
     link = F.when(n % 10 != 0, F.concat(F.lit("sup-"), n.cast("string")))
     gender = F.when(n % 2 == 1, "F").when(n % 10 != 0, "M")
     full = (F.lit(2020) + n % 10).cast("string")
     year = F.when(n % 4 == 0, F.concat(F.substring(full, 3, 2), F.lit(" Jr"))).otherwise(full)
+    joined = supplier if key == "s_suppkey" else df.join(supplier, F.col(key) == n)
     return (
-        supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
-        .join(team_regions(spark, sf_dir), F.col("n_name") == F.col("team"))
-        .select(
-            n, ids.surrogate_key(link, F.col("s_name"), F.col("team")).alias("key"),
-            F.col("s_name").alias("name"), link.alias("link"), "team", "region",
-            gender.alias("gender"), year.alias("year"), "s_acctbal",
-        )
+        joined.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .withColumns({
+            "key": ids.surrogate_key(link, F.col("s_name"), F.col("n_name")),
+            "name": F.col("s_name"), "link": link, "team": F.col("n_name"),
+            "region": F.nullif("r_name", F.lit("AFRICA")), "gender": gender, "year": year,
+        })
     )
 
 
-def _deduped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+SAILOR_COLUMNS = ["s_suppkey", "key", "name", "link", "team", "region", "gender", "year", "s_acctbal"]
+
+
+def sailors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sailor dimension: every tenth sailor has no page link and no gender."""
+    return _join_sailors(None, spark, sf_dir, "s_suppkey").select(*SAILOR_COLUMNS)
+
+
+def _hot_orders(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("race_no"))
+    return hot_groups(lines, ["race_no"], HOT_GROUP_ROWS)
+
+
+def _deduped_lines(spark: SparkSession, sf_dir: str, spread: bool) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax",
         "l_returnflag", "l_linestatus",
@@ -61,28 +79,28 @@ def _deduped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"
     )
-    # Joined first: the shuffle by order then also serves the dedup.
+    # One shuffle by order serves the join, the dedup and the race windows. When
+    # some order is very large (`spread`) the dedup combines before its own
+    # shuffle by (order, supplier) instead.
+    lines = lines if spread else lines.repartition("l_orderkey")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).drop("o_orderkey")
     return keep_last(
         joined, ["l_orderkey", "l_suppkey"], [F.col("l_linenumber"), F.col("l_extendedprice")]
     )
 
 
-def _events(spark: SparkSession, sf_dir: str, letter: str) -> DataFrame:
-    people = sailors(spark, sf_dir)
-    lines = _deduped_lines(spark, sf_dir)
-    date = F.to_date("o_orderdate")
+def _events(spark: SparkSession, sf_dir: str, letter: str, spread: bool) -> DataFrame:
+    lines = _join_sailors(_deduped_lines(spark, sf_dir, spread), spark, sf_dir, "l_suppkey")
     women = F.col("o_orderpriority").isin(URGENT) & (F.col("gender") == "F")
     season = ids.season_code(F.col("o_orderdate"))
     regatta = F.concat(
         season, F.lit(f"/{letter}"), (F.col("o_custkey") % 50).cast("string"),
         F.when(women, "-w").otherwise(""),
     )
-    return lines.join(people, lines.l_suppkey == people.s_suppkey).select(
-        F.col("l_orderkey").alias("race_no"), "key", "name", "link", "team", "region", "gender",
-        "year", "s_suppkey", "s_acctbal", "l_extendedprice", "l_tax", "l_linestatus",
-        F.when(F.col("l_returnflag") == "N", "Crew").otherwise("Skipper").alias("pos"),
-        date.alias("date"), season.alias("season"), regatta.alias("regatta"),
+    return lines.select(
+        F.col("l_orderkey").alias("race_no"), *SAILOR_COLUMNS, "l_extendedprice", "l_tax",
+        "l_linestatus", F.when(F.col("l_returnflag") == "N", "Crew").otherwise("Skipper").alias("pos"),
+        F.to_date("o_orderdate").alias("date"), season.alias("season"), regatta.alias("regatta"),
         F.concat_ws("/", regatta, F.col("l_orderkey").cast("string")).alias("race"),
         F.concat(F.lit("V"), (F.col("o_custkey") % 7).cast("string")).alias("venue"),
     )
@@ -90,11 +108,8 @@ def _events(spark: SparkSession, sf_dir: str, letter: str) -> DataFrame:
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fleet race entries; a NULL score is a race the boat did not finish."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey")
-    hot = hot_groups(
-        lines.withColumnRenamed("l_orderkey", "race_no"), ["race_no"], HOT_GROUP_ROWS
-    )
-    rows = _events(spark, sf_dir, "c").withColumn(
+    hot = _hot_orders(spark, sf_dir)
+    rows = _events(spark, sf_dir, "c", hot is not None).withColumn(
         "_price", F.floor(F.col("l_extendedprice") / 1000)
     )
     if hot is not None:
@@ -111,17 +126,24 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Team race members: side A or B, decided by the summed price."""
-    rows = _events(spark, sf_dir, "t").withColumn(
+    spread = _hot_orders(spark, sf_dir) is not None
+    rows = _events(spark, sf_dir, "t", spread).withColumn(
         "side", F.when(F.col("l_linestatus") == "O", "A").otherwise("B")
     ).withColumn("_cents", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
-    sums = rows.groupBy("race_no", "race").agg(
-        F.sum(F.when(F.col("side") == "A", F.col("_cents"))).alias("_a"),
-        F.sum(F.when(F.col("side") == "B", F.col("_cents"))).alias("_b"),
-    )
+    sums = {
+        "_a": F.sum(F.when(F.col("side") == "A", F.col("_cents"))),
+        "_b": F.sum(F.when(F.col("side") == "B", F.col("_cents"))),
+    }
+    keys = ["race_no", "race"]
+    if spread:
+        rows = attach(rows, keys, *[v.alias(c) for c, v in sums.items()])
+    else:
+        race = Window.partitionBy(*keys)
+        rows = rows.withColumns({c: v.over(race) for c, v in sums.items()})
     mine = F.when(F.col("side") == "A", F.col("_a")).otherwise(F.col("_b"))
     theirs = F.when(F.col("side") == "A", F.col("_b")).otherwise(F.col("_a"))
     return (
-        rows.join(sums.filter("_a is not null and _b is not null"), ["race_no", "race"])
+        rows.filter("_a is not null and _b is not null")
         .select(
             "race_no", "race", "side", "key", "name", "team", "region", "gender", "pos",
             "date", "season", "regatta", "venue",

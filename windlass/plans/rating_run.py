@@ -11,6 +11,7 @@ from windlass.operators.rating_fold import (
 )
 from windlass.operators.rating_kernel import FoldOptions
 from windlass.plans.unify import fleet_women, match_women, pool_name
+from windlass.session import cut_lineage
 
 
 def ordered_log(fleet: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -55,7 +56,7 @@ def rate_log(
     For an incremental run give the stored `state` and the `already` rated
     rows: races seen before are skipped, so a repeated run changes nothing.
     """
-    order = ordered_log(fleet, members) if order is None else order
+    order = cut_lineage(ordered_log(fleet, members)) if order is None else order
     rows = fleet_rows(fleet, order)
     if members is not None:
         rows = rows.unionByName(match_rows(members, order))
