@@ -11,7 +11,7 @@ larger than a group is a block of its own, rated by distributed prefix sums.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -19,10 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlass.operators.classic_kernel import ClassicOptions, classic_group
+from windlass.operators.classic_kernel import (
+    ClassicOptions, classic_finish, classic_group, classic_partial,
+)
 from windlass.operators.graph import connected_components
+from windlass.operators.groups import attach, hot_groups, rank_in_group
+from windlass.operators.large_field import rival_sums
 from windlass.operators.one_race import rate_races
-from windlass.operators.rating_kernel import FoldOptions, fold_group
+from windlass.operators.rating_kernel import FoldOptions, chance_partial, fold_group
 from windlass.session import cut_lineage, scratch_path
 
 MAX_GROUP_ROWS = 1_000_000
@@ -40,8 +44,8 @@ class FoldSpec:
     output: str
     # State column -> (value of a new sailor, output column that replaces it).
     state: dict[str, tuple[float | None, str]]
-    # Rates one race that is larger than a group; None keeps it in one group.
-    large_race: Callable[[DataFrame], DataFrame] | None = None
+    # Rates one race that is larger than a group, in chunks of the given rows.
+    large_race: Callable[[DataFrame, int], DataFrame]
 
 
 def plackett_luce(options: FoldOptions) -> FoldSpec:
@@ -70,6 +74,7 @@ def classic(options: ClassicOptions) -> FoldSpec:
             "rating": (options.initial, "rating1"), "rd": (options.rd, "rd1"),
             "vol": (options.vol, "vol1"), "last_period": (None, "period1"),
         },
+        large_race=partial(_classic_large_race, options=options),
     )
 
 
@@ -195,11 +200,7 @@ def _fold_in_blocks(
         if size <= max_group_rows:
             done = _rate(_with_state(block, state, spec), ["pool"], spec)
         elif len(taken) == 1:
-            with_state = _with_state(block, state, spec)
-            done = (
-                spec.large_race(with_state) if spec.large_race
-                else _rate(with_state, ["pool"], spec)
-            )
+            done = spec.large_race(_with_state(block, state, spec), max_group_rows)
         else:
             linked = spark.read.parquet(_stored(_components(block), "components"))
             tagged = block.join(linked, ["pool", "key"])
@@ -226,16 +227,54 @@ def _stored(df: DataFrame, name: str) -> str:
     return path
 
 
-def _rate_large_race(rows: DataFrame, options: FoldOptions) -> DataFrame:
-    """One race beyond the group size. The place forecast, quadratic in the
-    field, is left NULL here."""
-    rated = rate_races(
-        rows, ["pool", "seq", "race"], options.params, weight="weight", spread=True
+RACE = ["pool", "seq", "race"]
+
+
+def _rate_large_race(rows: DataFrame, chunk_rows: int, options: FoldOptions) -> DataFrame:
+    """One race beyond the group size: prefix sums for the update, chunk
+    against chunk for the place forecast."""
+    rated = cut_lineage(rate_races(rows, RACE, options.params, weight="weight", spread=True))
+    done = rated.select(
+        *ROW, F.col("mu").alias("mu0"), F.col("sigma").alias("sigma0"), "mu1", "sigma1"
     )
-    return rated.select(
-        *ROW, F.col("mu").alias("mu0"), F.col("sigma").alias("sigma0"), "mu1", "sigma1",
-        F.lit(None).cast("bigint").alias("predicted"),
+    if options.predict == "none":
+        return done.withColumn("predicted", F.lit(None).cast("bigint"))
+    use = "0" if options.predict == "before" else "1"
+    teams = done.groupBy(*RACE, "team").agg(
+        F.sum(f"mu{use}").alias("tm"), F.sum(F.col(f"sigma{use}") * F.col(f"sigma{use}")).alias("tv")
+    )
+    field = cut_lineage(attach(teams, RACE, F.count("*").alias("n")))
+    chances = rival_sums(
+        field, RACE, "team", ["tm", "tv", "n"],
+        partial(chance_partial, beta=options.params.beta), ["chance"], chunk_rows,
+    ).withColumn("chance", F.round("chance", 9))
+    chances = cut_lineage(chances)
+    places = rank_in_group(
+        chances, RACE, "chance", "predicted", hot=hot_groups(chances, RACE)
+    ).withColumn("predicted", F.col("predicted").cast("bigint"))
+    return done.join(places.drop("chance"), [*RACE, "team"]).select(*done.columns, "predicted")
+
+
+def _classic_large_race(rows: DataFrame, chunk_rows: int, options: ClassicOptions) -> DataFrame:
+    """The Elo and Glicko rules for one race beyond the group size."""
+    rows = cut_lineage(rows)
+    inputs = ["key", "partner", "score", "period", "rating", "rd", "vol", "last_period"]
+    sums = rival_sums(
+        rows, RACE, "line", inputs, partial(classic_partial, options=options),
+        ["first", "second"], chunk_rows,
     )
+    mates = rows.groupBy(*RACE, F.col("key").alias("partner")).agg(
+        F.max("rating").alias("mate_rating")
+    )
+    full = attach(rows, RACE, F.avg("rating").alias("mean"), F.count("*").alias("size")).join(
+        mates, [*RACE, "partner"], "left"
+    ).withColumn("mate_rating", F.coalesce("mate_rating", F.lit(0.0))).join(sums, [*RACE, "line"])
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield classic_finish(batch, options)
+
+    return full.mapInPandas(finish, classic(options).output)
 
 
 def skip_seen(rows: DataFrame, rated: DataFrame) -> DataFrame:

@@ -207,3 +207,17 @@ def normalised_weights(raw: list[float], low: float = 1.0, high: float = 2.0) ->
         return [high]
     spread = (max(raw) - min(raw)) or 0.0001
     return [(w - min(raw)) / spread * (high - low) + low for w in raw]
+
+
+def chance_partial(own: pd.DataFrame, rivals: pd.DataFrame, beta: float) -> pd.DataFrame:
+    """Summed chance of each own team against the given rivals of its race."""
+    mu, var = own["tm"].to_numpy(dtype=float), own["tv"].to_numpy(dtype=float)
+    other, other_var = rivals["tm"].to_numpy(dtype=float), rivals["tv"].to_numpy(dtype=float)
+    noise = own["n"].to_numpy(dtype=float)[:, None] * beta * beta
+    chance = np.zeros(len(own))
+    block = max(1, 2_000_000 // len(own))
+    for lo in range(0, len(rivals), block):
+        part = slice(lo, lo + block)
+        z = (mu[:, None] - other[None, part]) / np.sqrt(noise + var[:, None] + other_var[None, part])
+        chance += _normal_cdf(z).sum(axis=1)
+    return pd.DataFrame({"chance": chance})
