@@ -12,6 +12,7 @@ from windlass.operators.groups import attach
 from windlass.plans import domain
 from windlass.plans.domain import ENTRIES_SQL, MATCHES_SQL, SAILORS_SQL, table
 from windlass.plans.registry import query
+from windlass.plans.unify import number_boats
 
 SAILORS_WITH = "WITH " + SAILORS_SQL.strip()
 
@@ -153,7 +154,8 @@ def match_team_lookup(spark, sf):
 
 @query(
     "boat_pairing", "D07 D08 C06",
-    ENTRIES_SQL + """, boats AS (SELECT *, row_number() OVER (PARTITION BY race, div, pos ORDER BY key) AS boat
+    ENTRIES_SQL + """, boats AS (SELECT *, row_number() OVER (PARTITION BY race, div, pos
+        ORDER BY CAST(split_part(name, '#', 2) AS BIGINT), key) AS boat
       FROM entries)
     SELECT s.race_id, s.key, s.pos, coalesce(min(c.name), 'Unknown') AS partner,
       coalesce(min(c.key), 'Unknown') AS partner_key
@@ -161,13 +163,10 @@ def match_team_lookup(spark, sf):
     GROUP BY s.race_id, s.key, s.pos""",
 )
 def boat_pairing(spark, sf):
-    """Skipper and crew share (race, division, boat number); boat by key order."""
-    from windlass.operators.groups import rank_in_group
-
-    e = domain.entries(spark, sf).withColumn("_one", F.lit(1))
-    boats = rank_in_group(
-        e, ["race", "div", "pos"], "_one", "boat", tiebreak=["key"]
-    ).select("race", "div", "boat", "race_id", "key", "pos", "name")
+    """Skipper and crew share (race, division, boat number)."""
+    boats = number_boats(domain.entries(spark, sf)).select(
+        "race", "div", "boat", "race_id", "key", "pos", "name"
+    )
     other = boats.select(
         "race", "div", "boat", F.when(F.col("pos") == "Crew", "Skipper").otherwise("Crew").alias("pos"),
         F.col("name").alias("partner"), F.col("key").alias("partner_key"),

@@ -19,7 +19,7 @@ _BOATS = "WITH " + SAILORS_SQL.strip() + """, d AS (
       row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber DESC, l_extendedprice DESC) AS rn
       FROM lineitem) JOIN sailors ON l_suppkey = s_suppkey WHERE rn = 1)"""
 
-_SCORES = _BOATS + """, sc AS (SELECT 's01/r' || k AS regatta, k, n, 'Bay ' || (k % 7) AS venue, team,
+_SCORES = _BOATS + """, sc AS (SELECT 's01/r' || k || '-' || (n // 4096) AS regatta, k, n, 'Bay ' || (k % 7) AS venue, team,
     '/schools/' || lower(team) || '-' || n || '/' AS team_link, 'R&D ' || n AS boat, div, race_no,
     CAST((ln * 3 + race_no * 5 + CASE WHEN div = 'B' THEN 7 ELSE 0 END) % 20 + 1 AS INTEGER) AS score
   FROM d, (VALUES ('A'), ('B')) v(div), (VALUES (1), (2)) r(race_no))"""
@@ -82,7 +82,7 @@ def fleet_scores(spark, sf):
     _BOATS + """, p AS (SELECT * FROM (VALUES ('A', 'Skipper', 'Sk', 'a', '25', ''), ('A', 'Crew', 'Cr', 'a', '26', '1'),
       ('A', 'Crew', 'Cr', 'c', '27', '2'), ('B', 'Skipper', 'Sk', 'b', '25', '1-2'), ('B', 'Crew', 'Cr', 'b', '24', ''))
       v(div, pos, nm, sfx, year, range))
-    SELECT 's01/r' || k AS regatta, '/schools/' || lower(team) || '-' || n || '/' AS team_link, 'R&D ' || n AS boat,
+    SELECT 's01/r' || k || '-' || (n // 4096) AS regatta, '/schools/' || lower(team) || '-' || n || '/' AS team_link, 'R&D ' || n AS boat,
       div, pos, nm || ' ' || n || sfx AS name, year,
       CASE WHEN nm || sfx = 'Ska' AND n % 10 <> 0 THEN 'sk-' || n END AS link, range FROM d, p""",
 )
@@ -129,10 +129,10 @@ def illegal_duplicates_removed(spark, sf):
     return fleet.resolve_conflicts(rows)
 
 
-_MATCH_ORDERS = _BOATS + """, o AS (SELECT k FROM d GROUP BY k HAVING count(*) FILTER (st = 'O') > 0
+_MATCH_ORDERS = _BOATS + """, o AS (SELECT k, n // 4096 AS h FROM d GROUP BY 1, 2 HAVING count(*) FILTER (st = 'O') > 0
     AND count(*) FILTER (st = 'F') > 0),
-  three AS (SELECT * FROM (SELECT d.k, n, CASE WHEN st = 'O' THEN 'A' ELSE 'B' END AS side, row_number() OVER (
-      PARTITION BY d.k, st ORDER BY n) - 1 AS boat FROM d JOIN o ON d.k = o.k) WHERE boat < 3)"""
+  three AS (SELECT * FROM (SELECT d.k, h, n, CASE WHEN st = 'O' THEN 'A' ELSE 'B' END AS side, row_number() OVER (
+      PARTITION BY d.k, h, st ORDER BY n) - 1 AS boat FROM d JOIN o ON d.k = o.k AND n // 4096 = h) WHERE boat < 3)"""
 
 
 def _match_pages(spark, sf, column):
@@ -142,7 +142,7 @@ def _match_pages(spark, sf, column):
 
 @query(
     "match_results", "A12 A05 I08",
-    _MATCH_ORDERS + """ SELECT 's01/m' || k AS regatta, 'Bay ' || (k % 7) AS venue, DATE '2001-03-04' AS date, round, race_no,
+    _MATCH_ORDERS + """ SELECT 's01/m' || k || '-' || h AS regatta, 'Bay ' || (k % 7) AS venue, DATE '2001-03-04' AS date, round, race_no,
       'Uni ' || a || k AS uni_a, 'Nick ' || a AS nick_a, lower(a) || k AS link_a, '1-2-5' AS score_a, oa AS outcome_a,
       'Uni ' || b || k AS uni_b, 'Nick ' || b AS nick_b, lower(b) || k AS link_b, '3-4-6' AS score_b, ob AS outcome_b
     FROM o, (VALUES ('Round 1', 1, 'A', 'B', 'win', 'lose'), ('Round 2', 3, 'B', 'A', 'lose', 'win'))
@@ -154,9 +154,9 @@ def match_results(spark, sf):
 
 @query(
     "match_report_sailors", "A13 F14",
-    _MATCH_ORDERS + """ SELECT 's01/m' || d.k AS regatta, p || ' ' || n AS name,
+    _MATCH_ORDERS + """ SELECT 's01/m' || d.k || '-' || h AS regatta, p || ' ' || n AS name,
       CASE WHEN p = 'Sk' AND n % 10 <> 0 THEN 'sk-' || n ELSE 'Unknown' END AS link
-    FROM d JOIN o ON d.k = o.k, (VALUES ('Sk'), ('Cr')) v(p)""",
+    FROM d JOIN o ON d.k = o.k AND n // 4096 = h, (VALUES ('Sk'), ('Cr')) v(p)""",
 )
 def match_report_sailors(spark, sf):
     return match.report_sailors(_match_pages(spark, sf, "report"))
@@ -164,7 +164,7 @@ def match_report_sailors(spark, sf):
 
 @query(
     "match_report_teams", "A14",
-    _MATCH_ORDERS + """ SELECT 's01/m' || k AS regatta, CAST(i AS VARCHAR) AS rank, i || k::VARCHAR AS team_id,
+    _MATCH_ORDERS + """ SELECT 's01/m' || k || '-' || h AS regatta, CAST(i AS VARCHAR) AS rank, i || k::VARCHAR AS team_id,
       'Nick ' || t AS nick, 'Uni ' || t || k AS uni, '/schools/' || lower(t) || k || '/' AS team_link,
       '*' AS tie_mark, 'Head & tail ' || t AS tie_text FROM o, (VALUES (1, 'A'), (2, 'B'), (3, 'C')) v(i, t)""",
 )
@@ -179,9 +179,9 @@ def match_report_teams(spark, sf):
 @query(
     "match_rotation", "A15",
     _MATCH_ORDERS + """, t AS (SELECT * FROM (VALUES (1, 'A'), (2, 'B'), (3, 'C')) v(i, t)),
-    b AS (SELECT k, side, boat, 'Sk ' || n AS s, '25' AS sy, 'Cr ' || n AS c, '26' AS cy FROM three
-      UNION ALL SELECT k, 'C', 0, 'Unknown', 'Unknown', 'Unknown', 'Unknown' FROM o)
-    SELECT 's01/m' || b.k AS regatta, round, 'Team ' || x.t || b.k AS team, x.i || b.k::VARCHAR AS team_id,
+    b AS (SELECT k, h, side, boat, 'Sk ' || n AS s, '25' AS sy, 'Cr ' || n AS c, '26' AS cy FROM three
+      UNION ALL SELECT k, h, 'C', 0, 'Unknown', 'Unknown', 'Unknown', 'Unknown' FROM o)
+    SELECT 's01/m' || b.k || '-' || b.h AS regatta, round, 'Team ' || x.t || b.k AS team, x.i || b.k::VARCHAR AS team_id,
       'Full ' || x.t || b.k AS full_name, y.i || b.k::VARCHAR AS opp_id, 'Team ' || y.t || b.k AS opponent,
       'Full ' || y.t || b.k AS opponent_full, CAST(boat AS INTEGER) AS boat, pos,
       CASE WHEN pos = 'Skipper' THEN s ELSE c END AS name, CASE WHEN pos = 'Skipper' THEN sy ELSE cy END AS year,
@@ -195,7 +195,7 @@ def match_rotation(spark, sf):
 
 @query(
     "match_rotation_teams", "A16",
-    _MATCH_ORDERS + """ SELECT 's01/m' || k AS regatta, i || k::VARCHAR AS team_id, 'Team ' || t || k AS team,
+    _MATCH_ORDERS + """ SELECT 's01/m' || k || '-' || h AS regatta, i || k::VARCHAR AS team_id, 'Team ' || t || k AS team,
       'Full ' || t || k AS uni FROM o, (VALUES (1, 'A'), (2, 'B'), (3, 'C')) v(i, t)""",
 )
 def match_rotation_teams(spark, sf):
@@ -204,7 +204,7 @@ def match_rotation_teams(spark, sf):
 
 @query(
     "matches_from_pages", "A12 A15 D01 D04 D06 D07",
-    _MATCH_ORDERS + """ SELECT 's01/m' || k || '/' || race_no AS race_id, round, side, 'Team ' || side || k AS team,
+    _MATCH_ORDERS + """ SELECT 's01/m' || k || '-' || h || '/' || race_no AS race_id, round, side, 'Team ' || side || k AS team,
       CASE WHEN side = 'A' THEN 'win' ELSE 'lose' END AS outcome, CAST(boat AS INTEGER) AS boat, pos, p || ' ' || n AS name,
       CASE WHEN p = 'Sk' AND n % 10 <> 0 THEN 'sk-' || n ELSE p || ' ' || n || '-Team ' || side || k END AS key
     FROM three, (VALUES ('Round 1', 1), ('Round 2', 3)) v(round, race_no), (VALUES ('Skipper', 'Sk'), ('Crew', 'Cr')) w(pos, p)""",

@@ -308,7 +308,8 @@ def published_sailors(spark, sf):
 @query(
     "regatta_documents", "B12 E02",
     ALL_SQL + """, s AS (SELECT regatta, CAST(ceil(count(*) / 40.0) AS BIGINT) AS parts FROM entries GROUP BY 1),
-    p AS (SELECT e.regatta, key, race_id, score, CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % parts AS part
+    p AS (SELECT e.regatta, key, race_id, score,
+        CAST('0x' || substr(md5(race_id || '|' || key), 1, 8) AS BIGINT) % parts AS part
       FROM entries e JOIN s ON e.regatta = s.regatta),
     k AS (SELECT regatta, part, key, string_agg(race_id || '=' || coalesce(score, 0), ';' ORDER BY race_id) AS races
       FROM p GROUP BY 1, 2, 3)
@@ -316,12 +317,14 @@ def published_sailors(spark, sf):
     FROM k GROUP BY 1, 2""",
 )
 def regatta_documents(spark, sf, part_items=40):
-    """Regatta -> sailors -> races, in parts; a sailor's races share a part."""
+    """Regatta -> sailors -> races, in parts of bounded size."""
     from windlass.sources.sinks import part_of
 
     fleet = domain.entries(spark, sf).select("regatta", "key", "race_id", "score")
     sizes = fleet.groupBy("regatta").agg(F.ceil(F.count("*") / part_items).alias("parts"))
-    parted = fleet.join(sizes, "regatta").withColumn("part", part_of(F.col("key"), F.col("parts")))
+    parted = fleet.join(sizes, "regatta").withColumn(
+        "part", part_of(F.concat_ws("|", "race_id", "key"), F.col("parts"))
+    )
     races = parted.groupBy("regatta", "part", "key").agg(
         F.array_sort(F.collect_list(F.struct("race_id", "score"))).alias("races")
     )

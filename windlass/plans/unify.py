@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windlass.functions import ids
+from windlass.operators.groups import hot_groups, rank_in_group
 
 WOMEN_MINIMUM = 4
 
@@ -45,6 +46,15 @@ def race_log(fleet: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
+def number_boats(entries: DataFrame) -> DataFrame:
+    """Boat number per race, division and position, by the number in the name."""
+    keys = ["race", "div", "pos"]
+    rows = entries.withColumn("_no", F.split_part("name", F.lit("#"), F.lit(2)).try_cast("bigint"))
+    return rank_in_group(
+        rows, keys, "_no", "boat", ["key"], descending=False, hot=hot_groups(entries, keys)
+    ).drop("_no")
+
+
 def match_boats(matches: DataFrame) -> DataFrame:
     """One row per (match, side, boat, position); unknown keys are dropped
     together with their row, so partners never shift to another boat."""
