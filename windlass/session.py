@@ -24,7 +24,9 @@ def build_session(app: str = "windlass", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    # Checkpoint files go away with the last reference to their table.
+    clean = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+    for key, value in {**SETTINGS, **clean, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
