@@ -14,7 +14,7 @@ def merge_regions(df: DataFrame, alias: dict[str, str], col: str = "region") ->
 
 
 def exposure(entries: DataFrame, race_keys: list[str]) -> DataFrame:
-    """Adds `is_cross` (0/1) and `out_links` to each entry.
+    """Adds `is_cross` (0/1), `out_links` and `field` (entries of the race).
 
     is_cross: the race has more than one region, a missing one counted as a
     region of its own. out_links: rivals from another known region, which is
@@ -25,7 +25,7 @@ def exposure(entries: DataFrame, race_keys: list[str]) -> DataFrame:
         .groupBy(*race_keys, "_region").agg(F.count("*").alias("_same"))
     )
     per_race = per_region.groupBy(*race_keys).agg(
-        F.count("*").alias("_regions"),
+        F.count("*").alias("_regions"), F.sum("_same").alias("field"),
         F.coalesce(F.sum(F.when(F.col("_region") != NO_REGION, F.col("_same"))), F.lit(0))
         .alias("_known"),
     )

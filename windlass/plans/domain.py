@@ -258,7 +258,7 @@ def people(spark: SparkSession, sf_dir: str, fleet: DataFrame) -> DataFrame:
 
     keys = ["race", "pos"]
     scored = fleet.filter("score is not null")
-    seen = exposure(merge_regions(finish_ratio(scored, keys), REGION_ALIAS), keys)
+    seen = finish_ratio(exposure(merge_regions(scored, REGION_ALIAS), keys), keys)
     n = F.col("s_suppkey")
     second = F.when(n % 7 == 0, F.concat(F.lit("NATION_"), (n % 25).cast("string")))
     dim = sailors(spark, sf_dir).withColumn(

@@ -14,7 +14,8 @@ from windlass.plans.unify import POOLS
 
 def finish_ratio(entries: DataFrame, race_keys: list[str]) -> DataFrame:
     """1 for the winner, 0 for last; below 0 when a score exceeds the field."""
-    sized = attach(entries, race_keys, F.count("*").alias("field"))
+    known = "field" in entries.columns
+    sized = entries if known else attach(entries, race_keys, F.count("*").alias("field"))
     return sized.withColumn(
         "ratio", 1 - F.try_divide(F.col("score") - 1, F.col("field") - 1)
     )
@@ -76,7 +77,7 @@ def fleet_history(
     """One row per rated fleet entry with every non-snapshot history column."""
     keys = ["race", "pos"]
     scored = fleet.filter("score is not null")
-    shaped = exposure(merge_regions(finish_ratio(scored, keys), region_alias), keys)
+    shaped = finish_ratio(exposure(merge_regions(scored, region_alias), keys), keys)
     moved = changes(rated.filter(~F.col("pool").contains("t")), params).select(
         "race", F.when(F.col("pool").endswith("sr"), "Skipper").otherwise("Crew").alias("pos"),
         "key", "pool", "seq", "predicted", "rating", "change",
