@@ -1,4 +1,4 @@
 """Importing this module registers the queries of the package."""
 
-from windlass.llm import shard_shuffle, url_filters, warc  # noqa: F401
+from windlass.llm import byte_bpe, shard_shuffle, url_filters, warc  # noqa: F401
 from windlass.llm.common import ORACLES, QUERIES  # noqa: F401
