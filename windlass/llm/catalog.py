@@ -1,4 +1,6 @@
 """Importing this module registers the queries of the package."""
 
-from windlass.llm import byte_bpe, shard_shuffle, token_counts, url_filters, warc  # noqa: F401
+from windlass.llm import (  # noqa: F401
+    byte_bpe, quality_rules, shard_shuffle, token_counts, url_filters, warc,
+)
 from windlass.llm.common import ORACLES, QUERIES  # noqa: F401
