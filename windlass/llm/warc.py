@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import gzip
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +34,8 @@ from windlass.session import scratch_path
 
 MIN_REVISIT = 100
 RECORDS_PER_ARCHIVE = 30_000
+# Payload digests with copies that are broadcast, at about 100 bytes each.
+BROADCAST_HEADS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 _CRLF = "\r\n"
 _PRIMARY = ("response", "revisit", "resource")
@@ -79,7 +81,10 @@ def stage_captures(
         .filter("copies > 1").select("digest", F.col("head.uid").alias("head")),
         "warc-heads",
     )
-    # The heads are a stored table, so a digest with many copies can be split.
+    # Few heads travel to all tasks; many meet the captures in a shuffle, where a
+    # digest with many copies can be split, as both sides are stored tables.
+    if heads.count() <= BROADCAST_HEADS:
+        heads = F.broadcast(heads)
     return staged.join(heads, "digest", "left").select(
         "uid", "id", "url", "payload", "digest",
         F.when(F.col("head") != F.col("uid"), F.col("head")).alias("head_uid"),
@@ -91,9 +96,10 @@ def write_archives(staged: DataFrame, path: str, date: str = DATE) -> None:
     seed = path.rsplit("/", 1)[-1]
     uid = F.col("uid")
     response_id, request_id = _record_id(seed, uid, "response"), _record_id(seed, uid, "request")
-    url = F.col("url")
+    escaped = F.col("url")
     for code in (*range(0x21), 0x7F):
-        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+        escaped = F.replace(escaped, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    url = F.when(F.col("url").rlike(r"[\x00-\x20\x7f]"), escaped).otherwise(F.col("url"))
     first = F.col("head_uid").isNull()
     body = F.when(first, F.col("payload")).otherwise(F.lit(""))
     head = F.concat(
@@ -200,8 +206,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInPandas(parse, RECORD_SCHEMA)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: (capture_id, uri, date, response, requests, metadata)."""
+RESPONSE_FIELDS = ("type", "refers_to", "digest", "fields", "payload")
+
+
+def assemble(
+    records: DataFrame, response_fields: Sequence[str] = RESPONSE_FIELDS,
+) -> DataFrame:
+    """One row per capture: (capture_id, uri, date, response, requests, metadata).
+
+    `records` is read several times: store it first, without payloads if the
+    captures are not to carry them.
+    """
     primary = F.col("type").isin(*_PRIMARY)
     links = records.select("record_id", "type", "concurrent_to")
     targets = links.select("record_id", "type", F.explode("concurrent_to").alias("target"))
@@ -235,7 +250,7 @@ def assemble(records: DataFrame) -> DataFrame:
     )
     response = records.filter(primary).select(
         "record_id", "uri", "date",
-        F.struct("type", "refers_to", "digest", "fields", "payload").alias("response"))
+        F.struct(*response_fields).alias("response"))
     joined = response.join(sides, response.record_id == sides.capture, "full_outer")
     return joined.select(
         F.coalesce("record_id", "capture").alias("capture_id"), "uri", "date", "response",
@@ -253,12 +268,17 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = scratch_path(spark, "warc")
     write_archives(stage_captures(pages, "page_id", "url", "html"), path)
-    captures = assemble(read_archives(spark, path)).select(
+    records = materialise(
+        read_archives(spark, path)
+        .withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+        .withColumn("payload_sha256", F.sha2("payload", 256)).drop("payload"), "warc-records")
+    fields = ("type", "refers_to", "digest", "payload_bytes", "payload_sha256")
+    captures = assemble(records, fields).select(
         "capture_id", F.col("response.type").alias("record_type"),
         F.col("metadata")[0]["fields"]["id"].cast("long").alias("page_id"),
         F.col("response.refers_to").alias("target"),
-        F.octet_length("response.payload").cast("long").alias("own_bytes"),
-        F.sha2("response.payload", 256).alias("own_digest"),
+        F.col("response.payload_bytes").alias("own_bytes"),
+        F.col("response.payload_sha256").alias("own_digest"),
         F.substring_index("response.digest", ":", -1).alias("declared_digest"),
     )
     captures = materialise(captures, "warc-read")
