@@ -1,6 +1,6 @@
 """Importing this module registers the queries of the package."""
 
 from windlass.llm import (  # noqa: F401
-    byte_bpe, decontamination, quality_rules, shard_shuffle, token_counts, url_filters, warc,
+    byte_bpe, decontamination, jaccard_join, quality_rules, shard_shuffle, token_counts, url_filters, warc,
 )
 from windlass.llm.common import ORACLES, QUERIES  # noqa: F401
