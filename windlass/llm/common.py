@@ -47,13 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, name: str, per_file: int = 0) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared scratch folder and read back: cuts the lineage,
     survives lost executors, and lets joins on it be split when skewed."""
     path = scratch_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    if per_file:
-        writer = writer.option("maxRecordsPerFile", per_file)
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

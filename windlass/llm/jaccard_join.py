@@ -8,7 +8,7 @@ the threshold shares it in some tree with at least the target chance. Sets
 that share a prefix are candidates.
 
 Candidates are then compared exactly without a row for each pair: a set's home
-is the least set it shares a node with, homes are cut into blocks of bounded
+is the least set in two steps over shared nodes, homes are cut into blocks of bounded
 size, and every two blocks that share a node meet in one task, which counts
 common shingles of all their pairs in a matrix and returns, for each set, how
 many rows it is linked to and the least set it is connected to. Each two sets
@@ -220,8 +220,13 @@ def _verified(
         sets.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n"))
         .filter("n > 1").select("key", "leader"), "join-nodes")
     members = materialise(sets.join(nodes, "key"), "join-members")
-    homes = materialise(members.groupBy("rep").agg(
-        F.min("leader").alias("home"), F.min("size").alias("size")), "join-homes")
+    nearest = members.groupBy("rep").agg(F.min("leader").alias("home"))
+    # Once more, to the least home of its nodes: fewer and fuller blocks.
+    lower = members.select("key", "rep").join(nearest, "rep").groupBy("key").agg(
+        F.min("home").alias("home"))
+    lower = materialise(lower, "join-lower")
+    homes = materialise(members.select("key", "rep", "size").join(lower, "key").groupBy("rep").agg(
+        F.min("home").alias("home"), F.min("size").alias("size")), "join-homes")
     weights = materialise(homes.groupBy("home").agg(
         F.ceil(F.sum("size") / block_shingles).alias("parts")), "join-weights")
     blocks = materialise(homes.join(weights, "home").select("rep", F.xxhash64(

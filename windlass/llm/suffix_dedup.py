@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windlass.llm.common import free_name, materialise, query, table
@@ -40,11 +40,11 @@ from windlass.llm.suffix_grouping import suffix_array
 LENGTH = 100
 GRAM = 24
 # Text bytes whose contexts one task meets on average.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 12 << 20
 # Packed anchors and contexts leave a task after so many bytes of text.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 4 << 20
 # Bytes sorted at once; a larger group of contexts is sorted alone.
-SORT_BYTES = 256 << 10
+SORT_BYTES = 64 << 10
 HOT_CONTEXTS = 200_000
 SAMPLE = 0.01
 # Documents with contexts to fetch whose list travels to every task, and its
@@ -437,6 +437,16 @@ def remove_repeats(
         *[F.col(f"{names['cut']}.{c}").alias(names[c]) for c in ("kept", "n_bytes", "spans")])
 
 
+def whole_characters(kept: Column) -> Column:
+    """The text of remaining bytes, without pieces of characters cut in two."""
+
+    @F.pandas_udf("string")
+    def decode(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: b.decode("utf-8", "ignore"))
+
+    return decode(kept)
+
+
 def _all_spans(
     source: DataFrame, buckets: int, length: int, gram: int, hot_contexts: int,
 ) -> DataFrame:

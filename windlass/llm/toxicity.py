@@ -38,7 +38,7 @@ TRAIN_ROWS = 20_000
 FOLDS = 5
 # A word beginning is an insult if so many toxic training rows have it, and at
 # most this share of all rows that have it is not toxic.
-MIN_TOXIC_ROWS = 8
+MIN_TOXIC_ROWS = 6
 MAX_CLEAN_SHARE = 0.05
 PREFIXES = range(4, 9)
 MAX_LEXICON = 20_000
