@@ -56,6 +56,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As `materialise`, bucketed by a key: later joins on it leave it in place."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    label = path.rsplit("/", 1)[-1].replace("-", "_")
+    (df.repartition(buckets, key).write.format("parquet").option("compression", "zstd")
+     .option("parquet.block.size", 16 << 20).option("path", path)
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(label))
+    return spark.table(label)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
