@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlass.llm.common import free_name, materialise, query, table
+from windlass.llm.common import free_name, materialise, materialise_by, query, table
 from windlass.llm.suffix_grouping import suffix_array
 
 LENGTH = 100
@@ -47,10 +47,8 @@ FLUSH_BYTES = 4 << 20
 SORT_BYTES = 64 << 10
 HOT_CONTEXTS = 200_000
 SAMPLE = 0.01
-# Documents with contexts to fetch whose list travels to every task, and its
-# bytes; a longer list meets the texts in a shuffle.
-BROADCAST_ROWS = 300_000
-BROADCAST_BYTES = 32 << 20
+# Text bytes in one file of the staged documents.
+FILE_BYTES = 64 << 20
 
 _POSITION = np.uint64((1 << 24) - 1)
 _PIECE = 1 << 23
@@ -406,16 +404,20 @@ def remove_repeats(
     `spans` (start, end)."""
     names = {n: free_name(docs, n) for n in ("uid", "kept", "n_bytes", "spans", "cut", "packed")}
     spark = docs.sparkSession
-    staged = materialise(
-        docs.withColumn(names["uid"], F.monotonically_increasing_id()), "dedup-texts")
+    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    buckets = max(tasks, -(-total // bucket_bytes))
+    # Texts meet their contexts and their spans later: both joins are on the uid.
+    files = max(tasks, -(-total // FILE_BYTES))
+    staged = materialise_by(
+        docs.withColumn(names["uid"], F.monotonically_increasing_id()), "dedup-texts",
+        names["uid"], files)
     source = staged.select(
         F.col(names["uid"]).alias("uid"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(spark.sparkContext.defaultParallelism, -(-total // bucket_bytes))
-    spans = _all_spans(source, buckets, length, gram, hot_contexts)
-    per_doc = spans.groupBy("uid").agg(F.collect_list("data").alias("all_spans"))
+    spans = _all_spans(source, buckets, files, length, gram, hot_contexts)
+    per_doc = spans.repartition(files, "uid").groupBy("uid").agg(F.collect_list("data").alias("all_spans"))
     joined = staged.join(
         per_doc.withColumnRenamed("uid", "span_uid"), F.col(names["uid"]) == F.col("span_uid"),
         "left")
@@ -448,7 +450,7 @@ def whole_characters(kept: Column) -> Column:
 
 
 def _all_spans(
-    source: DataFrame, buckets: int, length: int, gram: int, hot_contexts: int,
+    source: DataFrame, buckets: int, files: int, length: int, gram: int, hot_contexts: int,
 ) -> DataFrame:
     """(uid, data): packed spans of the strings that start earlier."""
     hot = _hot_anchors(source, length, gram, hot_contexts)
@@ -456,11 +458,7 @@ def _all_spans(
     met = materialise(
         sent.groupBy("bucket").applyInPandas(_meet, "kind int, uid long, data binary"),
         "dedup-met")
-    contexts = met.filter("kind = 1").groupBy("uid").agg(F.collect_list("data").alias("contexts"))
-    docs, size = met.filter("kind = 1").agg(
-        F.count_distinct("uid"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()
-    if docs <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
-        contexts = F.broadcast(contexts)
+    contexts = met.filter("kind = 1").repartition(files, "uid").groupBy("uid").agg(F.collect_list("data").alias("contexts"))
     fetched = source.join(contexts, "uid").select("uid", "text", "contexts").mapInPandas(
         _fetch(buckets, length), FETCHED_SCHEMA)
     resolved = fetched.groupBy("bucket").applyInPandas(
