@@ -50,6 +50,7 @@ NEGATIONS = "not no never none without nicht kein keine nie ohne pas jamais sans
 REPORTS = ("said says told wrote reported according claims sagte sagt schrieb laut dit écrit "
            "selon dijo escribió según")
 SCOPE = 3
+TARGET_SCOPE = 5
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 AIMED, NEGATED, REPORTED = 1, 2, 4
@@ -107,7 +108,7 @@ def grammar() -> dict:
     composed = (
         _after(NEGATION, NEGATED, SCOPE)
         .compose(_after(REPORT, REPORTED, None))
-        .compose(_after(TARGET, AIMED, SCOPE))
+        .compose(_after(TARGET, AIMED, TARGET_SCOPE))
     )
     return composed.table([(k, 0) for k in range(6)])
 
