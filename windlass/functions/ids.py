@@ -45,15 +45,15 @@ def season_code(date: Column) -> Column:
     return F.concat(half, F.lpad((F.year(date) % 100).cast("string"), 2, "0"))
 
 
-def season_list(first: int, last: int) -> Column:
-    """['f16','s16','f17',...] for the two-digit years first..last."""
+def season_list(first: int | Column, last: int | Column) -> Column:
+    """['f16','s16','f17',...] for the years first..last, in two digits."""
     years = F.sequence(F.lit(first), F.lit(last))
     return F.flatten(
         F.transform(
             years,
             lambda y: F.transform(
                 F.array(F.lit("f"), F.lit("s")),
-                lambda h: F.concat(h, F.lpad(y.cast("string"), 2, "0")),
+                lambda h: F.concat(h, F.lpad((y % 100).cast("string"), 2, "0")),
             ),
         )
     )

@@ -58,12 +58,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 
 def page_rank(
-    edges: DataFrame, alpha: float = 0.85, rounds: int = 20, cut_every: int = 5
+    edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 100,
+    cut_every: int = 5,
 ) -> DataFrame:
     """edges (src, dst, weight) -> (node, rank), ranks summing to 1.
 
     A node without out-edges spreads its rank evenly, as the usual definition
-    asks. Each round is one join and one combinable aggregate.
+    asks. Each round is one join and one combinable aggregate. Rounds go on
+    until the ranks change by less than `tolerance` a node in sum, looked at
+    every `cut_every` rounds; it is an error if they do not settle.
     """
     totals = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     links = cut_lineage(
@@ -81,10 +84,11 @@ def page_rank(
         "node", F.coalesce("linked", F.lit(False)).alias("linked")
     ))
     count, linked = nodes.agg(F.count("*"), F.count_if("linked")).first()
-    # With loose ends each round reads the ranks twice, so it is cut every time.
-    cut_every = cut_every if linked == count else 1
-    ranks = nodes.withColumn("rank", F.lit(1.0 / count))
-    for i in range(rounds):
+    ranks = nodes.withColumn("rank", F.lit(1.0 / max(count, 1)))
+    if not count:
+        return ranks.select("node", "rank")
+    for i in range(max_rounds):
+        before = ranks
         incoming = (
             links.join(ranks.select(F.col("node").alias("src"), "rank"), "src")
             .groupBy(F.col("dst").alias("node"))
@@ -100,6 +104,13 @@ def page_rank(
                 F.coalesce("inflow", F.lit(0.0)) + loose / F.lit(float(count))
             )).alias("rank"),
         )
-        if (i + 1) % cut_every == 0:
+        # With loose ends each round reads the ranks twice, so it is cut every time.
+        look = (i + 1) % cut_every == 0
+        if look or linked < count:
             ranks = cut_lineage(ranks)
-    return ranks.select("node", "rank")
+        if look:
+            change = ranks.join(before.select("node", F.col("rank").alias("old")), "node").agg(
+                F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            if change < tolerance * count:
+                return ranks.select("node", "rank")
+    raise RuntimeError("the ranks did not settle")

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups above this many rows are ranked in value buckets instead of one window.
+from windlass.operators.ordering import dense_index
+
+# Groups above this many rows are numbered over many tasks instead of one window.
 HOT_GROUP_ROWS = 5_000_000
 
 
@@ -36,14 +38,14 @@ def rank_in_group(
     tiebreak: Sequence[str] = (),
     descending: bool = True,
     hot: DataFrame | None = None,
-    limit: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Competition rank by `value`, then `tiebreak` ascending, within `keys`.
 
-    With a unique tiebreak this is row_number. `hot` (from hot_groups) names
-    the keys to rank in buckets: cut points come from a mergeable quantile
-    sketch, each bucket is ranked by itself, and the sizes of the better
-    buckets are added. The result does not depend on where the cuts fall.
+    With a unique tiebreak this is row_number; NULLs stand where a window puts
+    them. `hot` (from hot_groups) names the keys whose rows are too many for
+    one window: these are range-partitioned by key, value and tiebreak and
+    numbered throughout, and a row's rank is the least number of its equals
+    less that of its group. Any type sorts, and nothing is capped.
     """
     order = [F.col(value).desc() if descending else F.col(value).asc()]
     order += [F.col(c).asc() for c in tiebreak]
@@ -55,42 +57,18 @@ def rank_in_group(
     if hot is None:
         return plain(df)
 
-    biggest = hot.agg(F.max("_n")).first()[0]
-    pieces = int(min(2000, 2 * -(-biggest // limit)))
-    fractions = [i / pieces for i in range(1, pieces)] or [0.5]
     cold_rows = df.join(hot, keys, "left_anti")
     hot_rows = df.join(hot.select(*keys), keys, "left_semi")
-
-    # Equal values share a rank, so ties collapse before anything is sorted.
-    points = [value, *tiebreak]
-    distinct = hot_rows.filter(F.col(value).isNotNull()).groupBy(*keys, *points).agg(
-        F.count("*").alias("_copies")
-    )
-    cuts = distinct.groupBy(*keys).agg(
-        F.percentile_approx(value, fractions, 10_000).alias("_cuts")
-    )
-    bucketed = (
-        distinct.join(cuts, keys)
-        .withColumn("_below", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-        .withColumn("_bucket", -F.col("_below") if descending else F.col("_below"))
-        .drop("_cuts", "_below")
-    )
-    before = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    inside = bucketed.withColumn("_inside", F.coalesce(F.sum("_copies").over(before), F.lit(0)))
-    totals = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_copies").alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = totals.select(
-        *keys, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
-    )
-    ranks = inside.join(offsets, [*keys, "_bucket"]).select(
-        *keys, *points, (F.col("_inside") + F.col("_offset") + 1).cast("int").alias(name)
-    )
-    ranked = hot_rows.join(ranks, [*keys, *points], "left")
-    return plain(cold_rows).unionByName(ranked.select(*df.columns, name))
+    points = [*keys, value, *tiebreak]
+    placed = dense_index(hot_rows, [*keys, *order], "_at")
+    ranked = placed
+    for name_, cols in (("_tie", points), ("_first", keys)):
+        least = placed.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cols)]).agg(
+            F.min("_at").alias(name_))
+        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cols)]
+        ranked = ranked.join(least, same).drop(*[f"_k{i}" for i in range(len(cols))])
+    rank = (F.col("_tie") - F.col("_first") + 1).cast("int").alias(name)
+    return plain(cold_rows).unionByName(ranked.select(*df.columns, rank))
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,

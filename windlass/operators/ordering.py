@@ -42,7 +42,7 @@ def race_table(
     return firsts.join(regattas, "regatta")
 
 
-def dense_index(df: DataFrame, order: Sequence[str], name: str = "seq") -> DataFrame:
+def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "seq") -> DataFrame:
     """0,1,2,... along `order` without a single-task sort.
 
     Rows are range-partitioned and written once (a later re-run must see the

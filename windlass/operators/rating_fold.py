@@ -26,7 +26,9 @@ from windlass.operators.graph import connected_components
 from windlass.operators.groups import attach, hot_groups, rank_in_group
 from windlass.operators.large_field import rival_sums
 from windlass.operators.one_race import rate_races
-from windlass.operators.rating_kernel import FoldOptions, chance_partial, fold_group
+from windlass.operators.rating_kernel import (
+    CHANCE_DIGITS, FoldOptions, chance_partial, fold_group,
+)
 from windlass.session import cut_lineage, scratch_path
 
 MAX_GROUP_ROWS = 1_000_000
@@ -247,7 +249,7 @@ def _rate_large_race(rows: DataFrame, chunk_rows: int, options: FoldOptions) ->
     chances = rival_sums(
         field, RACE, "team", ["tm", "tv", "n"],
         partial(chance_partial, beta=options.params.beta), ["chance"], chunk_rows,
-    ).withColumn("chance", F.round("chance", 9))
+    ).withColumn("chance", F.round("chance", CHANCE_DIGITS))
     chances = cut_lineage(chances)
     places = rank_in_group(
         chances, RACE, "chance", "predicted", hot=hot_groups(chances, RACE)

@@ -15,6 +15,10 @@ import pandas as pd
 from windlass.functions.rating_math import _HART_DEN, _HART_NUM, DEFAULT, RatingParams
 
 
+# Chances that agree to so many digits are a tie, whatever the race's size.
+CHANCE_DIGITS = 9
+
+
 @dataclass(frozen=True)
 class FoldOptions:
     params: RatingParams = field(default_factory=lambda: DEFAULT)
@@ -81,7 +85,7 @@ def _predicted_places(
         z = gap / np.sqrt(noise + v[:, :, None] + v[:, None, lo:hi])
         chance += (_normal_cdf(z) * real[:, None, lo:hi]).sum(axis=2)
     # The chance against oneself is one half for everybody and changes nothing.
-    mine = np.round(chance[row, col], 12)
+    mine = np.round(chance[row, col], CHANCE_DIGITS)
     order = np.lexsort((-mine, row))
     first = _starts(row[order], mine[order])
     size = np.diff(np.r_[first, len(mine)])

@@ -223,16 +223,16 @@ def region_exposure(spark, sf):
 
 @query(
     "outer_join_on_sailor", "D16",
-    ENTRIES_SQL + """, a AS (SELECT key, count(*) AS skipper_races FROM entries WHERE pos = 'Skipper' AND score = 1 GROUP BY 1),
-    b AS (SELECT key, count(*) AS crew_races FROM entries WHERE pos = 'Crew' AND score > 2 GROUP BY 1)
+    ENTRIES_SQL + """, a AS (SELECT key, count(*) AS skipper_races FROM entries WHERE pos = 'Skipper' GROUP BY 1),
+    b AS (SELECT key, count(*) AS crew_races FROM entries WHERE pos = 'Crew' GROUP BY 1)
     SELECT coalesce(a.key, b.key) AS key, skipper_races, crew_races FROM a FULL JOIN b ON a.key = b.key""",
 )
 def outer_join_on_sailor(spark, sf):
     e = domain.entries(spark, sf)
-    a = e.filter("pos = 'Skipper' and score = 1").groupBy("key").agg(
+    a = e.filter("pos = 'Skipper'").groupBy("key").agg(
         F.count("*").alias("skipper_races")
     )
-    b = e.filter("pos = 'Crew' and score > 2").groupBy("key").agg(F.count("*").alias("crew_races"))
+    b = e.filter("pos = 'Crew'").groupBy("key").agg(F.count("*").alias("crew_races"))
     return a.join(b, "key", "full")
 
 
@@ -404,11 +404,14 @@ def position_pivot(spark, sf):
 @query(
     "wide_to_long", "E27 E26",
     ENTRIES_SQL + """SELECT key, season, count(score) AS n FROM entries
-      WHERE season IN ('f99', 's00', 'f00', 's01') GROUP BY 1, 2 HAVING count(score) > 0""",
+      GROUP BY 1, 2 HAVING count(score) > 0""",
 )
 def wide_to_long(spark, sf):
     """One column per season, then back to rows without the empty cells."""
-    seasons = ["f99", "s00", "f00", "s01"]
+    # The seasons of a calendar: two a year, so the list is short.
+    years = table(spark, sf, "orders").agg(
+        F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    seasons = [f"{h}{y % 100:02d}" for y in range(years[0], years[1] + 1) for h in "fs"]
     wide = domain.entries(spark, sf).filter("score is not null").groupBy("key").pivot(
         "season", seasons
     ).agg(F.count("score"))
@@ -544,8 +547,8 @@ def field_attach(spark, sf):
         FROM nodes CROSS JOIN (SELECT *, coalesce(sum(CASE WHEN node NOT IN (SELECT src FROM edges)
             THEN rank END) OVER (), 0) AS loose FROM ranks) r
         LEFT JOIN links l ON l.src = r.node AND l.dst = nodes.node
-        GROUP BY nodes.node) n WHERE i < 20)
-    SELECT node, round(rank, 9) AS rank FROM ranks WHERE i = 20""",
+        GROUP BY nodes.node) n WHERE i < 60)
+    SELECT node, round(rank, 9) AS rank FROM ranks WHERE i = 60""",
 )
 def loss_graph_page_rank(spark, sf):
     """Each loser points to the winner of the race, weighted by how often."""
@@ -554,7 +557,7 @@ def loss_graph_page_rank(spark, sf):
     edges = e.join(winners, ["race", "pos"]).filter(F.col("key") != F.col("dst")).groupBy(
         F.col("key").alias("src"), "dst"
     ).agg(F.count("*").cast("double").alias("weight"))
-    return page_rank(edges).select("node", F.round("rank", 9).alias("rank"))
+    return page_rank(edges, tolerance=1e-13).select("node", F.round("rank", 9).alias("rank"))
 
 
 @query(

@@ -129,10 +129,10 @@ def illegal_duplicates_removed(spark, sf):
     return fleet.resolve_conflicts(rows)
 
 
-_MATCH_ORDERS = _BOATS + """, o AS (SELECT k, n // 4096 AS h FROM d GROUP BY 1, 2 HAVING count(*) FILTER (st = 'O') > 0
+_MATCH_ORDERS = _BOATS + """, o AS (SELECT k, 0 AS h FROM d GROUP BY 1 HAVING count(*) FILTER (st = 'O') > 0
     AND count(*) FILTER (st = 'F') > 0),
   three AS (SELECT * FROM (SELECT d.k, h, n, CASE WHEN st = 'O' THEN 'A' ELSE 'B' END AS side, row_number() OVER (
-      PARTITION BY d.k, h, st ORDER BY n) - 1 AS boat FROM d JOIN o ON d.k = o.k AND n // 4096 = h) WHERE boat < 3)"""
+      PARTITION BY d.k, h, st ORDER BY n) - 1 AS boat FROM d JOIN o ON d.k = o.k) WHERE boat < 3)"""
 
 
 def _match_pages(spark, sf, column):
@@ -156,7 +156,7 @@ def match_results(spark, sf):
     "match_report_sailors", "A13 F14",
     _MATCH_ORDERS + """ SELECT 's01/m' || d.k || '-' || h AS regatta, p || ' ' || n AS name,
       CASE WHEN p = 'Sk' AND n % 10 <> 0 THEN 'sk-' || n ELSE 'Unknown' END AS link
-    FROM d JOIN o ON d.k = o.k AND n // 4096 = h, (VALUES ('Sk'), ('Cr')) v(p)""",
+    FROM d JOIN o ON d.k = o.k, (VALUES ('Sk'), ('Cr')) v(p)""",
 )
 def match_report_sailors(spark, sf):
     return match.report_sailors(_match_pages(spark, sf, "report"))

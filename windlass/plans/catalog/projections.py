@@ -208,16 +208,20 @@ def date_forms(spark, sf):
 
 @query(
     "season_calendar", "I11 C16 D17",
-    """WITH seasons AS (SELECT h || lpad(CAST(y AS VARCHAR), 2, '0') AS season
-      FROM range(95, 100) t(y), (VALUES ('f'), ('s')) v(h)),
+    """WITH span AS (SELECT min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b FROM orders),
+    seasons AS (SELECT h || lpad(CAST(y % 100 AS VARCHAR), 2, '0') AS season
+      FROM (SELECT unnest(range(a, b + 1)) AS y FROM span), (VALUES ('f'), ('s')) v(h)),
     counts AS (SELECT (CASE WHEN month(o_orderdate) <= 6 THEN 's' ELSE 'f' END)
         || lpad(CAST(year(o_orderdate) % 100 AS VARCHAR), 2, '0') AS season, count(*) AS n
       FROM orders GROUP BY 1)
     SELECT season, CAST(coalesce(n, 0) AS BIGINT) AS races FROM seasons LEFT JOIN counts USING (season)""",
 )
 def season_calendar(spark, sf):
-    calendar = spark.range(1).select(F.explode(ids.season_list(95, 99)).alias("season"))
-    counts = table(spark, sf, "orders").groupBy(
+    orders = table(spark, sf, "orders")
+    years = orders.agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b"))
+    calendar = years.filter("a is not null").select(
+        F.explode(ids.season_list(F.col("a"), F.col("b"))).alias("season"))
+    counts = orders.groupBy(
         ids.season_code(F.col("o_orderdate")).alias("season")
     ).agg(F.count("*").alias("n"))
     return calendar.join(counts, "season", "left").select(

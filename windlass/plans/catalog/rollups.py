@@ -8,6 +8,7 @@ from windlass.functions import rating_math as rm
 from windlass.plans import domain, rollups
 from windlass.plans.boards import in_seasons, leaderboards, pool_ranks, valid_person
 from windlass.plans.domain import ALL_SQL
+from windlass.plans.catalog import fold_sql
 from windlass.plans.registry import query
 from windlass.session import cut_lineage
 from windlass.sources.sinks import bounded_lists
@@ -344,7 +345,7 @@ def regatta_documents(spark, sf, part_items=40):
     )
 
 
-@query("ratings_output", "B01 F03 E10 E11 Q14")
+@query("ratings_output", "B01 F03 E10 E11 Q14", fold_sql.RATINGS_OUTPUT)
 def ratings_output(spark, sf):
     """The full rating table: one row per sailor from the ordered fold."""
     from windlass.operators.rating_fold import final_state

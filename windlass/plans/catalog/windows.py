@@ -273,7 +273,7 @@ def match_rivals(spark, sf):
     "rank_matrix", "F06 E26 D17",
     """WITH m AS (SELECT n_name AS team, strftime(o_orderdate, '%Y') AS date, sum(o_totalprice) AS v
       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-      WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' GROUP BY 1, 2),
+      GROUP BY 1, 2),
     r AS (SELECT team, date, row_number() OVER (PARTITION BY date ORDER BY round(v, 2) DESC, team) AS rank FROM m),
     grid AS (SELECT t.team, d.date FROM (SELECT DISTINCT team FROM r) t, (SELECT DISTINCT date FROM r) d)
     SELECT team, string_agg(coalesce(CAST(rank AS VARCHAR), '-'), ',' ORDER BY date) AS ranks
@@ -285,7 +285,7 @@ def rank_matrix(spark, sf):
     nation = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("team"))
     customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     m = (
-        table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+        table(spark, sf, "orders")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy("team", F.date_format("o_orderdate", "yyyy").alias("date"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,16 +38,17 @@ def apply_settings(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the cluster; a temporary one only for local runs."""
+    """Checkpoint folder of the cluster. Where it is unset, as in tests, a folder
+    of this program in the session's warehouse, which all executors share."""
     context = spark.sparkContext
     current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not context.getCheckpointDir():
             context.setCheckpointDir(current)
         return context.getCheckpointDir()
-    if not context.master.split("[")[0] == "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="windlass-"))
+    own = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, own)
+    context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from windlass.operators.dedup import keep_last, upsert
+from windlass.operators.dedup import keep_last
 from windlass.session import cut_lineage
 
 
@@ -44,7 +44,12 @@ def merge_batch(batch: DataFrame, store: str, keys: Sequence[str], order: Sequen
         stored = spark.read.schema(latest.schema).parquet(store).filter(
             F.col(partition).isin(touched)
         )
-        both = upsert(stored, latest, keys)
+        # A late file must not replace a newer result; on a tie the batch wins.
+        both = keep_last(
+            stored.withColumn("_new", F.lit(False)).unionByName(
+                latest.withColumn("_new", F.lit(True))),
+            keys, [*[F.col(c) for c in order], F.col("_new")],
+        ).drop("_new")
         # The table is both read and written: settle the result first.
         merged = cut_lineage(both)
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
