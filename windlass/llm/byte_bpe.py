@@ -35,7 +35,7 @@ PATTERN = (
     .replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
 )
 # Matches remembered by a task in each of two generations, and the longest that is.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 600_000
 CACHE_LENGTH = 48
 # The vocabulary travels to every task: a parameter of checked size.
 MAX_VOCABULARY = 2_000_000
