@@ -145,3 +145,54 @@ def test_stream_upsert(spark, tmp_path):
     assert run() == want
     assert os.path.isdir(store)
     assert spark.read.parquet(store).filter(F.col("fetched").isNull()).count() == 0
+
+
+def test_stream_upsert_keeps_newer_results(spark, tmp_path):
+    store = str(tmp_path / "store")
+    schema = "season string, race string, score int, at int"
+
+    def merge(*rows):
+        merge_batch(spark.createDataFrame(rows, schema), store, ["season", "race"], ["at"], "season")
+        return sorted(tuple(r) for r in spark.read.parquet(store).select(
+            "race", "score", "at").collect())
+
+    assert merge(("f24", "1", 5, 2), ("f24", "2", 7, 2)) == [("1", 5, 2), ("2", 7, 2)]
+    # A late file: older than what is stored for one race, newer for the other.
+    assert merge(("f24", "1", 9, 1), ("f24", "2", 8, 3)) == [("1", 5, 2), ("2", 8, 3)]
+    assert merge(("f24", "1", 6, 2)) == [("1", 6, 2), ("2", 8, 3)]
+
+
+def test_markup_accepts_any_quoting(spark):
+    from windlass.functions import markup as m
+
+    page = """<p class=results>no</p><table id=x class='a results b'><tr><td class=right>1</td>
+      <td data-k="v" class = "far right">2</td><td class="rightmost">3</td></tr></table>
+      <table class="results"><tr></tr></table>"""
+    row = spark.createDataFrame([(page, "<a>")], "h string, e string").select(
+        m.cells_of_class(m.table_of_class(F.col("h"), "results"), "right").alias("cells"),
+        m.attribute(m.table_of_class(F.col("h"), "results"), "id").alias("id"),
+        m.table_of_class(F.col("h"), "sailors").alias("none"),
+        m.attribute(F.lit("<a class=''>"), "class").alias("blank"),
+        m.attribute(F.col("e"), "class").alias("absent"),
+    ).first()
+    assert [c.split(">")[1][0] for c in row.cells] == ["1", "2"]
+    assert (row.id, row.none, row.blank, row.absent) == ("x", None, "", None)
+
+
+def test_match_heats_lose_no_pairing(spark):
+    from windlass.plans.rendered_pages import match_heats
+
+    rows = [(1, n, "O") for n in range(1, 400)] + [(1, 9000, "F")]
+    rows += [(2, 5, "O"), (2, 90000, "F"), (3, 7, "O")]
+    rows += [(4, n, "OF"[n % 2]) for n in range(500)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linestatus string")
+    pages = {}
+    for r in match_heats(lines, items=64).collect():
+        pages.setdefault((r.l_orderkey, r.heat), {"O": set(), "F": set()})[r.l_linestatus].add(r.l_suppkey)
+    assert all(p["O"] and p["F"] for p in pages.values())
+    for order in (1, 2, 4):
+        for side in "OF":
+            met = set().union(*(p[side] for (k, _), p in pages.items() if k == order))
+            assert met == {n for k, n, s in rows if k == order and s == side}
+    assert not any(k == 3 for k, _ in pages)
+    assert len([k for k in pages if k[0] == 2]) == 1

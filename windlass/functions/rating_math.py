@@ -79,9 +79,3 @@ def win_probability(
     """Chance that team A beats team B, from summed means and variances."""
     spread = F.sqrt(players * F.lit(params.beta**2) + var_a + var_b)
     return normal_cdf((mu_a - mu_b) / spread)
-
-
-def elo_expected(rating: Column, opponent: Column, literal_form: bool = False) -> Column:
-    """Standard Elo expectation, or the power-of-difference form some runs used."""
-    x = (opponent - rating) / 400.0
-    return 1.0 / (1.0 + (F.pow(x, F.lit(10.0)) if literal_form else F.pow(F.lit(10.0), x)))

@@ -562,14 +562,17 @@ def loss_graph_page_rank(spark, sf):
 
 @query(
     "linked_sailors", "J02",
-    ENTRIES_SQL + """SELECT s_suppkey >= 0 AS linked, count(DISTINCT e.key) AS sailors FROM entries e
-      JOIN sailors s ON s.key = e.key GROUP BY 1""",
+    ENTRIES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, hub AS (SELECT regatta, min(key) AS b FROM entries GROUP BY 1),
+    near AS (SELECT DISTINCT key AS a, b FROM entries JOIN hub USING (regatta)),
+    both_ways AS MATERIALIZED (SELECT a, b FROM near UNION SELECT b, a FROM near),
+    found(node, component) USING KEY (node) AS (SELECT a, a FROM both_ways
+      UNION SELECT e.b, min(f.component) FROM found f JOIN both_ways e ON f.node = e.a
+        JOIN recurring.found r ON r.node = e.b WHERE f.component < r.component GROUP BY e.b)
+    SELECT node AS sailor, component FROM found""",
 )
 def linked_sailors(spark, sf):
-    """Sailors joined by common regattas: the unit of parallel rating."""
+    """Sailors joined by common regattas, with the least of each group."""
     e = domain.entries(spark, sf)
     hub = e.groupBy("regatta").agg(F.min("key").alias("b"))
     edges = e.join(hub, "regatta").select(F.col("key").alias("a"), "b").distinct()
-    groups = connected_components(edges)
-    largest = groups.groupBy("component").agg(F.count("*").alias("sailors"))
-    return largest.select(F.lit(True).alias("linked"), "sailors")
+    return connected_components(edges).select(F.col("node").alias("sailor"), "component")

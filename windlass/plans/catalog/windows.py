@@ -10,82 +10,44 @@ from windlass.operators.head_to_head import fleet_head_to_head, match_head_to_he
 from windlass.operators.ordering import latest_before
 from windlass.plans import domain
 from windlass.plans.boards import leaderboards, pool_ranks
+from windlass.plans.catalog import fold_sql
 from windlass.plans.domain import ALL_SQL, ENTRIES_SQL, SAILORS_SQL, table
-from windlass.plans.history import regatta_average, snapshots
-from windlass.plans.rating_run import ordered_log
+from windlass.plans.history import rating_events, regatta_average, snapshots
+from windlass.plans.rating_run import ordered_log, rate_log
 from windlass.plans.registry import query
-from windlass.plans.unify import fleet_women, pool_name
+from windlass.plans.unify import POOLS
 from windlass.session import cut_lineage
 
 SAILORS_WITH = "WITH " + SAILORS_SQL.strip()
 
-_SEQ_SQL = ENTRIES_SQL + """, fw AS (SELECT regatta, count(*) FILTER (gender = 'F') >= 4
-      AND count(*) FILTER (gender = 'M') = 0 AS w
-      FROM (SELECT DISTINCT regatta, pos, key, gender FROM entries) GROUP BY 1),
-    r AS (SELECT regatta, race, min((date, race_no, div)) AS k FROM entries GROUP BY 1, 2),
-    g AS (SELECT *, min(k) OVER (PARTITION BY regatta) AS rk FROM r),
-    n AS (SELECT regatta, race, row_number() OVER (ORDER BY rk, regatta, k, race) - 1 AS seq FROM g),
-    ns AS (SELECT *, min(seq) OVER (PARTITION BY regatta) AS regatta_seq FROM n),
-    ev AS (SELECT e.race, e.regatta, e.key, seq, regatta_seq, CAST(e.pos = 'Crew' AS INTEGER) AS step,
-      CASE WHEN w THEN 'w' ELSE '' END || CASE WHEN e.pos = 'Skipper' THEN 'sr' ELSE 'cr' END AS pool,
-      1000.0::DOUBLE + score * 3 AS rating FROM entries e JOIN ns ON e.race = ns.race AND e.regatta = ns.regatta
-      JOIN fw ON e.regatta = fw.regatta)"""
-
-
 def _events(spark, sf):
-    """Entries with their place in the order; the rating is a stand-in."""
+    """Ratings of the ordered fold, with their place in the order."""
     fleet = cut_lineage(domain.entries(spark, sf))
-    order = ordered_log(fleet)
-    return fleet.join(order.drop("entries"), ["regatta", "race"]).join(
-        fleet_women(fleet).select("regatta", "womens"), "regatta"
-    ).select(
-        "race", "regatta", "key", "seq", "regatta_seq",
-        F.when(F.col("pos") == "Crew", 1).otherwise(0).alias("step"),
-        pool_name(F.col("womens"), False, F.col("pos")).alias("pool"),
-        (F.lit(1000.0) + F.col("score") * 3).alias("rating"),
-    )
+    members = cut_lineage(domain.match_members(spark, sf))
+    order = cut_lineage(ordered_log(fleet, members))
+    return rating_events(rate_log(fleet, members, order), order)
 
 
-@query(
-    "as_of_snapshots", "F02 J06",
-    _SEQ_SQL + """ SELECT race, key, pool,
-      coalesce(last_value(CASE WHEN pool = 'sr' THEN rating END IGNORE NULLS) OVER w, 1000) AS sr,
-      coalesce(last_value(CASE WHEN pool = 'cr' THEN rating END IGNORE NULLS) OVER w, 1000) AS cr,
-      coalesce(last_value(CASE WHEN pool = 'wsr' THEN rating END IGNORE NULLS) OVER w, 1000) AS wsr,
-      coalesce(last_value(CASE WHEN pool = 'wcr' THEN rating END IGNORE NULLS) OVER w, 1000) AS wcr
-    FROM ev WINDOW w AS (PARTITION BY key ORDER BY seq, step ROWS UNBOUNDED PRECEDING)""",
-)
+@query("as_of_snapshots", "F02 J06", fold_sql.AS_OF)
 def as_of_snapshots(spark, sf):
-    return snapshots(_events(spark, sf)).select("race", "key", "pool", "sr", "cr", "wsr", "wcr")
+    return snapshots(_events(spark, sf)).select(
+        "race", "key", "pool", *[F.round(p, 4).alias(p) for p in POOLS])
 
 
-@query(
-    "rating_changes", "F01",
-    _SEQ_SQL + """ SELECT race, key, pool, rating - lag(rating, 1, 1000) OVER
-      (PARTITION BY key, pool ORDER BY seq, step) AS change FROM ev WHERE rating IS NOT NULL""",
-)
+@query("rating_changes", "F01", fold_sql.CHANGES)
 def rating_changes(spark, sf):
-    e = _events(spark, sf).filter("rating is not null").withColumn("previous", F.col("rating"))
+    e = _events(spark, sf).drop("change").withColumn("previous", F.col("rating"))
     before = latest_before(e, ["key", "pool"], ["seq", "step"], ["previous"], inclusive=False)
-    return before.select(
-        "race", "key", "pool",
-        (F.col("rating") - F.coalesce("previous", F.lit(1000.0))).alias("change"),
-    )
+    change = F.col("rating") - F.coalesce("previous", F.lit(1000.0))
+    return before.select("race", "key", "pool", F.round(change, 4).alias("change"))
 
 
-@query(
-    "regatta_averages", "E05 J06 Q1 Q2",
-    _SEQ_SQL + """, pp AS (SELECT DISTINCT regatta, regatta_seq, pool, key FROM ev),
-    v AS (SELECT p.regatta, p.pool, p.key, arg_max(e.rating, (e.seq, e.step)) FILTER (e.rating IS NOT NULL) AS r
-      FROM pp p LEFT JOIN ev e ON e.key = p.key AND e.pool = p.pool AND e.seq < p.regatta_seq GROUP BY 1, 2, 3)
-    SELECT regatta, round(avg(coalesce(r, 1000)), 6) AS regatta_avg FROM v GROUP BY regatta""",
-)
+@query("regatta_averages", "E05 J06 Q1 Q2", fold_sql.AVERAGES)
 def regatta_averages(spark, sf):
     e = cut_lineage(_events(spark, sf))
     people = e.select("regatta", "regatta_seq", "pool", "key").distinct()
-    return regatta_average(people, e.filter("rating is not null")).select(
-        "regatta", F.round("regatta_avg", 6).alias("regatta_avg")
-    )
+    return regatta_average(people, e).select(
+        "regatta", F.round("regatta_avg", 4).alias("regatta_avg"))
 
 
 @query(

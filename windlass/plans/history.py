@@ -99,6 +99,31 @@ def match_history(
     return members.join(moved, ["race", "pos", "key"]).withColumn("type", F.lit("team"))
 
 
+def rating_events(rated: DataFrame, order: DataFrame, params: RatingParams = DEFAULT) -> DataFrame:
+    """regatta, regatta_seq, race, key, pool, seq, step, rating of every rated entry."""
+    return changes(rated, params).select(
+        "race", "key", "pool", "seq", F.when(F.col("pool").endswith("cr"), 1).otherwise(0).alias("step"),
+        "rating", "change",
+    ).join(order.select("regatta", "race", "regatta_seq"), "race")
+
+
+def with_ratings_as_of(history: DataFrame, events: DataFrame) -> DataFrame:
+    """Adds the sailor's eight ratings as of the race, and the regatta's average
+    from before it."""
+    as_of = snapshots(events).select("key", "pool", "seq", *POOLS)
+    people = events.select("regatta", "regatta_seq", "pool", "key").distinct()
+    averages = regatta_average(people, events)
+    return history.join(as_of, ["key", "pool", "seq"]).join(averages, "regatta", "left")
+
+
+def with_partner(entries: DataFrame, boat_keys: list[str]) -> DataFrame:
+    """Adds the key of whoever holds the other position of the same boat."""
+    mates = entries.select(
+        *boat_keys, F.col("key").alias("partner"),
+        F.when(F.col("pos") == "Skipper", "Crew").otherwise("Skipper").alias("pos"))
+    return entries.join(mates, [*boat_keys, "pos"], "left")
+
+
 def prediction_errors(history: DataFrame) -> DataFrame:
     """Mean error, mean squared error, mean absolute error and exact hits."""
     gap = (F.col("score") - F.col("predicted")).cast("double")

@@ -37,18 +37,9 @@ def unify_matches(matches: DataFrame) -> DataFrame:
     })
 
 
-def race_log(fleet: DataFrame, matches: DataFrame) -> DataFrame:
-    """Both kinds of race by name, missing columns NULL, rows without a race
-    key left out. The processing order is added by ordering.race_order."""
-    cols = ["regatta", "race", "race_no", "div", "date", "season", "scoring"]
-    return fleet.select(*cols).unionByName(matches.select(*cols)).filter(
-        F.col("regatta").isNotNull() & F.col("race").isNotNull() & F.col("date").isNotNull()
-    )
-
-
-def number_boats(entries: DataFrame) -> DataFrame:
+def number_boats(entries: DataFrame, keys: tuple[str, ...] = ("race", "div", "pos")) -> DataFrame:
     """Boat number per race, division and position, by the number in the name."""
-    keys = ["race", "div", "pos"]
+    keys = list(keys)
     rows = entries.withColumn("_no", F.split_part("name", F.lit("#"), F.lit(2)).try_cast("bigint"))
     return rank_in_group(
         rows, keys, "_no", "boat", ["key"], descending=False, hot=hot_groups(entries, keys)
