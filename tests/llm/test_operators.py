@@ -20,7 +20,9 @@ from windlass.llm import (
 from windlass.llm.common import prepare
 
 CLASH = ("shard long, slot string, kept int, n_bytes int, uid int, class_id int, n_links int, "
-         "score int, host int, verdict int, n_words int, ids int, block int, fp int, size int")
+         "score int, host int, verdict int, n_words int, ids int, block int, fp int, size int, "
+         "runs int, set_fp int, first_uid int, all_spans int, span_uid int, key int, rep int, "
+         "data int, bytes int")
 
 
 @pytest.fixture(scope="module")

@@ -171,7 +171,7 @@ def shuffle_into_shards(
     """All rows of `df` in uniform order: adds `shard` and `slot` (0, 1, ...
     in each shard). The order depends on the seed and the input partitions."""
     names = {n: free_name(df, n) for n in ("shard", "slot", "block", "place", "bucket", "first",
-                                          "key1", "key2")}
+                                          "key1", "runs")}
     block, place, bucket = (F.col(names[n]) for n in ("block", "place", "bucket"))
     pieces = df.coalesce(MAX_BLOCKS)
     stamped = pieces.withColumn(names["block"], F.spark_partition_id()).withColumn(
@@ -208,7 +208,7 @@ def shuffle_into_shards(
     per_block = runs.groupBy("block").agg(listed.alias("all")).select(
         F.col("block").alias(names["first"]),
         F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / chunk).cast("int")),
-                    lambda c: F.slice("all", c * chunk + 1, chunk)).alias("runs"),
+                    lambda c: F.slice("all", c * chunk + 1, chunk)).alias(names["runs"]),
     )
     if cells <= BROADCAST_CELLS:
         per_block = F.broadcast(per_block)
@@ -223,9 +223,10 @@ def shuffle_into_shards(
             lambda s: s["at"],
         )
 
-    outer = F.element_at("runs", last_started(F.col("runs"), lambda c: c[0]["start"]))
+    own_runs = F.col(names["runs"])
+    outer = F.element_at(own_runs, last_started(own_runs, lambda c: c[0]["start"]))
     found = F.element_at(outer, last_started(outer, lambda r: r["start"]))["bucket"]
-    return _permute_buckets(placed.withColumn(names["bucket"], found).drop("runs"),
+    return _permute_buckets(placed.withColumn(names["bucket"], found).drop(names["runs"]),
                             names, bucket, place, block, rows, shards, per_shard, seed)
 
 

@@ -402,7 +402,8 @@ def remove_repeats(
 ) -> DataFrame:
     """All rows with `kept` (the remaining bytes), n_bytes and the removed
     `spans` (start, end)."""
-    names = {n: free_name(docs, n) for n in ("uid", "kept", "n_bytes", "spans", "cut", "packed")}
+    names = {n: free_name(docs, n) for n in (
+        "uid", "kept", "n_bytes", "spans", "cut", "span_uid", "all_spans")}
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     tasks = 2 * spark.sparkContext.defaultParallelism
@@ -417,10 +418,11 @@ def remove_repeats(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     spans = _all_spans(source, buckets, files, length, gram, hot_contexts)
-    per_doc = spans.repartition(files, "uid").groupBy("uid").agg(F.collect_list("data").alias("all_spans"))
+    per_doc = spans.repartition(files, "uid").groupBy("uid").agg(
+        F.collect_list("data").alias(names["all_spans"]))
     joined = staged.join(
-        per_doc.withColumnRenamed("uid", "span_uid"), F.col(names["uid"]) == F.col("span_uid"),
-        "left")
+        per_doc.withColumnRenamed("uid", names["span_uid"]),
+        F.col(names["uid"]) == F.col(names["span_uid"]), "left")
 
     @F.pandas_udf("kept binary, n_bytes long, spans array<struct<start:int,end:int>>")
     def cut(texts: pd.Series, packed: pd.Series) -> pd.DataFrame:
@@ -433,7 +435,8 @@ def remove_repeats(
             out.append((kept, len(data), [{"start": a, "end": b} for a, b in runs]))
         return pd.DataFrame(out, columns=["kept", "n_bytes", "spans"])
 
-    done = joined.withColumn(names["cut"], cut(F.col(text).cast("string"), F.col("all_spans")))
+    done = joined.withColumn(names["cut"], cut(
+        F.col(text).cast("string"), F.col(names["all_spans"])))
     return done.select(
         *[F.col(c) for c in docs.columns],
         *[F.col(f"{names['cut']}.{c}").alias(names[c]) for c in ("kept", "n_bytes", "spans")])

@@ -267,7 +267,8 @@ def fit(rows: DataFrame) -> tuple[dict[str, float], np.ndarray]:
 @query("op2_toxic_clauses")
 def op2_toxic_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % FOLDS == 0
+    held_out = F.coalesce(
+        F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % FOLDS == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     insults, weights = fit(training_rows(docs, labels, held_out))
     return score_texts(docs, insults, weights).select(
