@@ -1,6 +1,6 @@
 """All named queries. Importing this package registers them."""
 
 from windlass.plans.catalog import (  # noqa: F401
-    files, joins, pages, projections, ratings, results, rollups, windows,
+    files, full_run, joins, pages, projections, ratings, results, rollups, windows,
 )
 from windlass.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401

@@ -256,7 +256,7 @@ def search_index(spark, sf):
 
 @query(
     "search_index_documents", "B08 I17",
-    ALL_SQL + """, a AS (SELECT key, '{"team":"' || teams[-1] || '","year":"' || year || '"}' AS entry FROM people
+    ALL_SQL + """, a AS (SELECT key, '{"name":"' || name || '","team":"' || teams[-1] || '","year":"' || year || '"}' AS entry FROM people
       WHERE list_has_any(skipper_seasons, ['f00', 's01']) OR list_has_any(crew_seasons, ['f00', 's01'])),
     p AS (SELECT *, CAST('0x' || substr(md5(key), 1, 8) AS BIGINT)
       % (SELECT CAST(ceil(count(*) / 25.0) AS BIGINT) FROM a) AS part FROM a)
@@ -267,41 +267,53 @@ def search_index_documents(spark, sf):
     fleet = cut_lineage(domain.entries(spark, sf))
     active = in_seasons(F.col("skipper_seasons"), SEASONS) | in_seasons(F.col("crew_seasons"), SEASONS)
     rows = domain.people(spark, sf, fleet).filter(active).withColumn("doc", F.lit("allSailors"))
-    item = F.struct("key", F.struct(F.element_at("teams", -1).alias("team"), "year").alias("value"))
+    item = F.struct("key", F.struct(
+        "name", F.element_at("teams", -1).alias("team"), "year").alias("value"))
     lists = bounded_lists(rows, ["doc"], F.col("key"), item, "items", part_items=25)
     return lists.select("part", F.to_json(F.map_from_entries("items")).alias("doc"))
 
 
 @query(
     "published_sailors", "B05 C26 F16 I14 I16",
-    ALL_SQL + f""", w AS (SELECT key, max(CASE WHEN pool = 'sr' THEN {RATING_SQL} END) AS sr,
-        max(CASE WHEN pool = 'cr' THEN {RATING_SQL} END) AS cr FROM state GROUP BY key)
-    SELECT replace(key, '/', '-') AS id, name, CAST(trunc(coalesce(sr, 1000)) AS INTEGER) AS skipper_rating,
-      CAST(trunc(coalesce(cr, 1000)) AS INTEGER) AS crew_rating, teams[-1] AS team, races,
-      coalesce(k.rank, 0) AS skipper_rank
-    FROM people LEFT JOIN w USING (key) LEFT JOIN (SELECT key, rank FROM ranks WHERE pool = 'sr') k USING (key)
+    ALL_SQL + f""", w AS (SELECT key, {", ".join(
+        f"max(CASE WHEN pool = '{p}' THEN {RATING_SQL} END) AS {p}" for p in domain.POOL_INDEX)}
+      FROM state GROUP BY key),
+    k AS (SELECT key, {", ".join(
+        f"max(CASE WHEN pool = '{p}' THEN rank END) AS {p}_rank" for p in domain.POOL_INDEX)}
+      FROM ranks GROUP BY key)
+    SELECT replace(key, '/', '-') AS id, name, gender, year, {", ".join(
+        f"CAST(trunc(coalesce({p}, 1000)) AS INTEGER) AS {p}, "
+        f"CAST(coalesce({p}_rank, 0) AS INTEGER) AS {p}_rank" for p in domain.POOL_INDEX)},
+      teams[-1] AS team, array_to_string(teams, ',') AS teams, array_to_string(skipper_seasons, ',') AS skipper_seasons,
+      array_to_string(crew_seasons, ',') AS crew_seasons, races, CAST(cross_races AS BIGINT) AS cross_races,
+      CAST(out_links AS BIGINT) AS out_links
+    FROM people LEFT JOIN w USING (key) LEFT JOIN k USING (key)
     WHERE (list_contains(skipper_seasons, 's01') OR list_contains(crew_seasons, 's01')) AND races > 0""",
 )
 def published_sailors(spark, sf):
+    """A sailor's document: ratings and ranks of all pools, teams, seasons per
+    position, races and exposure."""
     _, state, people = _inputs(spark, sf)
     state = cut_lineage(state)
     people = cut_lineage(people)
-    ranks = pool_ranks(state, people, SEASONS, MATCH_SEASONS, domain.GRAD_CUTOFF).filter(
-        "pool = 'sr'"
-    ).select("key", F.col("rank").alias("skipper_rank"))
+    pools = list(domain.POOL_INDEX)
+    ranks = pool_ranks(state, people, SEASONS, MATCH_SEASONS, domain.GRAD_CUTOFF).groupBy("key").agg(*[
+        F.max(F.when(F.col("pool") == p, F.col("rank"))).alias(f"{p}_rank") for p in pools])
     last = SEASONS[-1]
     active = F.array_contains("skipper_seasons", last) | F.array_contains("crew_seasons", last)
-    wide = rollups.ratings_wide(state)
+    wide = rollups.ratings_wide(state).select("key", *pools)
     base = F.lit(rm.DEFAULT.target)
     return (
         people.filter(active & (F.col("races") > 0)).join(wide, "key", "left")
         .join(ranks, "key", "left")
         .select(
-            F.replace("key", F.lit("/"), F.lit("-")).alias("id"), "name",
-            F.coalesce("sr", base).cast("int").alias("skipper_rating"),
-            F.coalesce("cr", base).cast("int").alias("crew_rating"),
-            F.element_at("teams", -1).alias("team"), "races",
-            F.coalesce("skipper_rank", F.lit(0)).alias("skipper_rank"),
+            F.replace("key", F.lit("/"), F.lit("-")).alias("id"), "name", "gender", "year",
+            *[F.coalesce(p, base).cast("int").alias(p) for p in pools],
+            *[F.coalesce(f"{p}_rank", F.lit(0)).cast("int").alias(f"{p}_rank") for p in pools],
+            F.element_at("teams", -1).alias("team"), F.array_join("teams", ",").alias("teams"),
+            F.array_join("skipper_seasons", ",").alias("skipper_seasons"),
+            F.array_join("crew_seasons", ",").alias("crew_seasons"),
+            "races", "cross_races", "out_links",
         )
     )
 
@@ -310,7 +322,7 @@ def published_sailors(spark, sf):
     "regatta_documents", "B12 E02",
     ALL_SQL + """, s AS (SELECT regatta, CAST(ceil(count(*) / 40.0) AS BIGINT) AS parts FROM entries GROUP BY 1),
     p AS (SELECT e.regatta, key, race_id, score,
-        CAST('0x' || substr(md5(race_id || '|' || key), 1, 8) AS BIGINT) % parts AS part
+        CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % parts AS part
       FROM entries e JOIN s ON e.regatta = s.regatta),
     k AS (SELECT regatta, part, key, string_agg(race_id || '=' || coalesce(score, 0), ';' ORDER BY race_id) AS races
       FROM p GROUP BY 1, 2, 3)
@@ -318,13 +330,14 @@ def published_sailors(spark, sf):
     FROM k GROUP BY 1, 2""",
 )
 def regatta_documents(spark, sf, part_items=40):
-    """Regatta -> sailors -> races, in parts of bounded size."""
+    """Regatta -> sailors -> races, in parts cut by sailor, so a sailor's races
+    are in one document."""
     from windlass.sources.sinks import part_of
 
     fleet = domain.entries(spark, sf).select("regatta", "key", "race_id", "score")
     sizes = fleet.groupBy("regatta").agg(F.ceil(F.count("*") / part_items).alias("parts"))
     parted = fleet.join(sizes, "regatta").withColumn(
-        "part", part_of(F.concat_ws("|", "race_id", "key"), F.col("parts"))
+        "part", part_of(F.col("key"), F.col("parts"))
     )
     races = parted.groupBy("regatta", "part", "key").agg(
         F.array_sort(F.collect_list(F.struct("race_id", "score"))).alias("races")
