@@ -40,7 +40,7 @@ TREES = 28
 LABEL = 8
 RECALL = 0.9999
 # Shingles in a block: bounds what one verification task holds and multiplies.
-BLOCK_SHINGLES = 60_000
+BLOCK_SHINGLES = 20_000
 # Candidate sets and block pairs up to which their ids travel to every task;
 # more of them meet the texts in a shuffle.
 BROADCAST_ROWS = 300_000
@@ -161,7 +161,10 @@ def link_texts(
     """All rows with class_id, n_links and is_first (the class's first row)."""
     depth = prefix_depth(trees, LABEL, threshold, recall)
     names = {n: free_name(docs, n) for n in
-             ("uid", "fp", "size", "keys", "sketch", "class_id", "n_links", "is_first")}
+             ("uid", "fp", "size", "keys", "sketch", "class_id", "n_links", "is_first",
+              "set_fp", "set_class", "first_uid", "set_links")}
+    set_fp, set_class, first_uid, set_links = (
+        F.col(names[n]) for n in ("set_fp", "set_class", "first_uid", "set_links"))
 
     @F.pandas_udf("fp binary, size long, keys array<bigint>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
@@ -181,32 +184,34 @@ def link_texts(
     head = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
     copies = materialise(
         narrow.filter("fp is not null").groupBy("fp")
-        .agg(F.min(head).alias("head"), F.count("*").alias("copies"))
+        # Copies have the same size and keys.
+        .agg(F.min(head).alias("head"), F.count("*").alias("copies"),
+             F.first("size").alias("size"), F.first("keys").alias("keys"))
         .withColumn("rep", F.col("head.uid")), "join-copies")
-    sets = narrow.join(copies.select(F.col("rep").alias("uid")), "uid").select(
-        F.col("uid").alias("rep"), "size", F.explode("keys").alias("key"))
+    sets = copies.select("rep", "size", F.explode("keys").alias("key"))
     links = materialise(_verified(sets, copies, staged, names["uid"], text, threshold,
                                   block_shingles), "join-links")
     per_set = links.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(links.filter("rep <> root").select(
         F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     labelled = (
-        copies.join(classes, "rep", "left")
+        copies.drop("size", "keys").join(classes, "rep", "left")
         .withColumn("component", F.coalesce("component", "rep")).join(per_set, "rep", "left"))
     labelled = materialise(labelled, "join-sets")
     heads = materialise(
         labelled.groupBy("component").agg(F.min("head").alias("first")), "join-classes")
     found = materialise(labelled.join(heads, "component").select(
-        F.col("fp").alias("set_fp"), F.col("first.id").alias("set_class"),
-        F.col("first.uid").alias("first_uid"),
-        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("set_links")), "join-found")
-    out = staged.join(found, F.col(names["fp"]) == F.col("set_fp"), "left")
+        F.col("fp").alias(names["set_fp"]), F.col("first.id").alias(names["set_class"]),
+        F.col("first.uid").alias(names["first_uid"]),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias(names["set_links"])),
+        "join-found")
+    out = staged.join(found, F.col(names["fp"]) == set_fp, "left")
     return out.select(
         *[F.col(c) for c in docs.columns],
-        F.when(F.col("set_fp").isNull(), F.col(doc_id).cast("long"))
-        .otherwise(F.col("set_class")).alias(names["class_id"]),
-        F.coalesce("set_links", F.lit(0)).cast("long").alias(names["n_links"]),
-        F.coalesce(F.col("first_uid") == F.col(names["uid"]), F.lit(True))
+        F.when(set_fp.isNull(), F.col(doc_id).cast("long"))
+        .otherwise(set_class).alias(names["class_id"]),
+        F.coalesce(set_links, F.lit(0)).cast("long").alias(names["n_links"]),
+        F.coalesce(first_uid == F.col(names["uid"]), F.lit(True))
         .alias(names["is_first"]),
     )
 
