@@ -20,19 +20,19 @@ def exposure(entries: DataFrame, race_keys: list[str]) -> DataFrame:
     region of its own. out_links: rivals from another known region, which is
     (entries with a region) - (entries with mine), and 0 when mine is missing.
     """
-    per_region = (
-        entries.withColumn("_region", F.coalesce("region", F.lit(NO_REGION)))
-        .groupBy(*race_keys, "_region").agg(F.count("*").alias("_same"))
-    )
-    per_race = per_region.groupBy(*race_keys).agg(
-        F.count("*").alias("_regions"), F.sum("_same").alias("field"),
-        F.coalesce(F.sum(F.when(F.col("_region") != NO_REGION, F.col("_same"))), F.lit(0))
-        .alias("_known"),
-    )
-    counts = per_region.join(per_race, race_keys)
-    joined = entries.withColumn("_region", F.coalesce("region", F.lit(NO_REGION))).join(
-        counts, [*race_keys, "_region"]
+    tagged = entries.withColumn("_region", F.coalesce("region", F.lit(NO_REGION)))
+    # Counts by region travel as one small map per race: one join, not two.
+    per_race = (
+        tagged.groupBy(*race_keys, "_region").agg(F.count("*").alias("_same"))
+        .groupBy(*race_keys).agg(
+            F.map_from_entries(F.collect_list(F.struct("_region", "_same"))).alias("_by_region"),
+            F.count("*").alias("_regions"), F.sum("_same").alias("field"),
+            F.coalesce(F.sum(F.when(F.col("_region") != NO_REGION, F.col("_same"))), F.lit(0))
+            .alias("_known"),
+        )
     )
+    joined = tagged.join(per_race, race_keys).withColumn(
+        "_same", F.element_at("_by_region", F.col("_region"))).drop("_by_region")
     cross = F.when(F.col("_regions") > 1, 1).otherwise(0)
     links = F.when(
         (F.col("_regions") > 1) & (F.col("_region") != NO_REGION), F.col("_known") - F.col("_same")
