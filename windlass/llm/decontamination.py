@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windlass.llm import sql
 from windlass.llm.common import query, table
 from windlass.llm.shingles import WIDTH, WORDS, shingle_hashes
 
@@ -172,7 +173,7 @@ def without_items(
     return out
 
 
-@query("op10_decontamination")
+@query("op10_decontamination", sql.DECONTAMINATION)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windlass.llm import sql
 from windlass.llm.common import free_name, materialise, query, table
 from windlass.llm.shingles import WORDS, text_shingles
 from windlass.operators.graph import connected_components
@@ -263,7 +264,7 @@ def _verified(
     return met.groupBy("low", "high").applyInPandas(verify, "rep long, links long, root long")
 
 
-@query("op5_ngram_jaccard_join")
+@query("op5_ngram_jaccard_join", sql.JACCARD)
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return link_texts(docs).select("doc_id", "class_id", "n_links")

@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windlass.llm import sql
 from windlass.llm.common import free_name, materialise, materialise_by, query, table
 from windlass.llm.suffix_grouping import suffix_array
 
@@ -469,7 +470,7 @@ def _all_spans(
     return met.filter("kind = 0").unionByName(resolved).select("uid", "data")
 
 
-@query("op7_suffix_dedup")
+@query("op7_suffix_dedup", sql.SUFFIX_DEDUP)
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(

@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windlass.llm import sql
 from windlass.llm.common import materialise, query, table
 from windlass.session import scratch_path
 
@@ -263,7 +264,7 @@ def _by_id(a: Column, b: Column) -> Column:
         a["record_id"] > b["record_id"], 1).otherwise(0)
 
 
-@query("op1_warc_transactions")
+@query("op1_warc_transactions", sql.WARC)
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = scratch_path(spark, "warc")
