@@ -12,6 +12,10 @@ NAMES = [
     "race_id_parts", "date_forms", "last_duplicate_kept", "region_exposure", "as_of_snapshots",
     "rating_update_one_race", "match_update_one_race", "processing_order", "pool_ranks",
     "team_top_ratings", "fleet_head_to_head", "regatta_averages", "fleet_scores", "match_rotation",
+    "rating_state", "fleet_history", "match_history", "incremental_rating", "pair_rating",
+    "elo_pairwise", "elo_field_average", "glicko2", "full_rating_run", "linked_sailors",
+    "published_sailors", "regatta_documents", "search_index_documents", "season_calendar",
+    "wide_to_long", "rank_matrix", "loss_graph_page_rank",
 ]
 
 
@@ -42,6 +46,7 @@ def test_query_matches_sql(spark, name):
     assert _norm(map(tuple, got.select(*cols).collect())) == _norm(expected)
 
 
-def test_every_oracle_has_a_query():
+def test_every_query_of_the_catalog_has_an_oracle():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.catalog.QUERIES) == set(entry.catalog.ORACLES)
     assert len(entry.queries()) > 100

@@ -25,7 +25,10 @@ def attach(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame
 def hot_groups(
     source: DataFrame, keys: Sequence[str], limit: int = HOT_GROUP_ROWS
 ) -> DataFrame | None:
-    """Keys with more than `limit` rows, or None. One cheap counting job."""
+    """Keys with more than `limit` rows, or None. A table of no more rows, which
+    its files tell, has no such key; else one counting job."""
+    if source.count() <= limit:
+        return None
     hot = source.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
     return None if hot.isEmpty() else hot
 
