@@ -223,6 +223,54 @@ def team_document_rows(spark, sf):
     )
 
 
+@query(
+    "full_team_documents", "B06 E03 E17 F05 D17",
+    _TOPS_SQL + f""", links AS (SELECT team, arg_min('/schools/' || lower(team), (date, race_no, key)) AS team_link
+      FROM entries WHERE link IS NOT NULL GROUP BY team),
+    av AS (SELECT team, count(*) AS members, (avg(coalesce(sr, 1000)) + avg(coalesce(cr, 1000))) / 2 AS av,
+        (avg(skipper_ratio) + avg(crew_ratio)) / 2 AS ar
+      FROM (SELECT unnest(teams) AS team, key, skipper_ratio, crew_ratio FROM people
+        WHERE list_has_any(skipper_seasons, ['f00', 's01']) OR list_has_any(crew_seasons, ['f00', 's01'])) p
+      LEFT JOIN (SELECT key, {RATING_SQL} AS sr FROM state WHERE pool = 'sr') USING (key)
+      LEFT JOIN (SELECT key, {RATING_SQL} AS cr FROM state WHERE pool = 'cr') USING (key) GROUP BY team),
+    named AS (SELECT team, string_agg(pool || place || '=' || key, ',' ORDER BY pool, place) AS top_sailors
+      FROM counted GROUP BY team)
+    SELECT r.team, region, lower(replace(replace(r.team, ' ', '-'), '/', '-')) AS id,
+      'https://scores.example.org' || coalesce(team_link, '') AS link, coalesce(members, 0) AS members,
+      CASE WHEN members IS NULL THEN 0 ELSE round(av, 6) END AS avg,
+      CASE WHEN members IS NULL THEN 0 ELSE round(ar, 8) END AS avg_ratio,
+      round(top_open, 6) AS top_open, round(top_women, 6) AS top_women,
+      round(top_open_team, 6) AS top_open_team, round(top_women_team, 6) AS top_women_team,
+      row_number() OVER (ORDER BY round(top_open, 6) DESC, r.team) AS open,
+      row_number() OVER (ORDER BY round(top_women, 6) DESC, r.team) AS women,
+      row_number() OVER (ORDER BY round(top_open_team, 6) DESC, r.team) AS open_team,
+      row_number() OVER (ORDER BY round(top_women_team, 6) DESC, r.team) AS women_team,
+      coalesce(top_sailors, '') AS top_sailors
+    FROM team_regions r JOIN tops t ON t.team = r.team LEFT JOIN links l ON l.team = r.team
+    LEFT JOIN av a ON a.team = r.team LEFT JOIN named n ON n.team = r.team""",
+)
+def full_team_documents(spark, sf):
+    """A team's whole document: link, averages, top ratings, ranks, top sailors."""
+    _, state, people = _inputs(spark, sf)
+    state, people = cut_lineage(state), cut_lineage(people)
+    teams = domain.team_regions(spark, sf).select("team")
+    averages = rollups.team_averages(people, rollups.ratings_wide(state), teams, SEASONS).select(
+        "team", "members", F.round("avg", 6).alias("avg"), F.round("avg_ratio", 8).alias("avg_ratio"))
+    tops = cut_lineage(rollups.team_tops(people, state, teams, SEASONS, MATCH_SEASONS).select(
+        "team", *[F.round(f"top_{c}", 6).alias(f"top_{c}") for c in rollups.CATEGORIES]))
+    best = rollups.team_top_sailors(people, state, SEASONS, MATCH_SEASONS)
+    # At most three sailors of each of eight pools.
+    named = best.groupBy("team").agg(F.array_sort(F.collect_list(
+        F.struct("pool", "place", "key"))).alias("x")).select("team", F.array_join(F.transform(
+            "x", lambda b: F.concat(b["pool"], b["place"].cast("string"), F.lit("="), b["key"])), ",")
+            .alias("top_sailors"))
+    return (
+        team_document_rows(spark, sf).join(averages, "team").join(tops, "team")
+        .join(rollups.team_ranks(tops), "team").join(named, "team", "left")
+        .withColumn("top_sailors", F.coalesce("top_sailors", F.lit("")))
+    )
+
+
 @query(
     "team_member_lists", "E25 B07 I16",
     ALL_SQL + """, m AS (SELECT unnest(teams) AS team, key, name, races FROM people),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -47,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(current)
         return context.getCheckpointDir()
     own = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, own)
+    _delete_at_exit(spark, own)
     context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
@@ -61,12 +62,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is there goes when the program ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    _delete_at_exit(spark, path)
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the program ends, also after the session was stopped."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+
+    def delete() -> None:
+        try:
+            target.getFileSystem(conf).delete(target, True)
+        except Py4JError:
+            pass  # the JVM has ended before this program
+
+    atexit.register(delete)
