@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlass.llm.common import free_name, query, table
+from windlass.llm.common import free_name, held, query, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 # The pattern's \s is the Unicode White_Space property.
@@ -35,7 +35,7 @@ PATTERN = (
     .replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
 )
 # Matches remembered by a task in each of two generations, and the longest that is.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 CACHE_LENGTH = 48
 # The vocabulary travels to every task: a parameter of checked size.
 MAX_VOCABULARY = 2_000_000
@@ -171,15 +171,8 @@ class Encoder:
         return b"".join([tokens[i] for i in np.frombuffer(ids or b"", "<u4").tolist()])
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def _encoder(broadcast, pattern: str) -> Encoder:
-    """One encoder in a Python process for each vocabulary that it serves."""
-    if broadcast.id_ not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[broadcast.id_] = Encoder(*broadcast.tables.value, pattern)
-    return _ENCODERS[broadcast.id_]
+def _encoder(vocabulary: Vocabulary, pattern: str) -> Encoder:
+    return held((vocabulary.id_, pattern), lambda: Encoder(*vocabulary.tables.value, pattern))
 
 
 class Vocabulary:
@@ -221,11 +214,29 @@ def decode_ids(
     return df.withColumn(free_name(df, decoded), decode(F.col(ids)))
 
 
+def encode_and_decode(
+    df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids",
+    decoded: str = "decoded", pattern: str = PATTERN,
+) -> DataFrame:
+    """Adds both in one call. (Of two chained calls Spark would run the first twice.)"""
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        own = _encoder(vocabulary, pattern)
+        packed = [own.encode(t) for t in texts]
+        return pd.DataFrame({"ids": packed, "decoded": [own.decode(p) for p in packed]})
+
+    made = free_name(df, "coded")
+    return df.withColumn(made, both(F.col(text).cast("string"))).select(
+        *[F.col(c) for c in df.columns], F.col(f"{made}.ids").alias(free_name(df, ids)),
+        F.col(f"{made}.decoded").alias(free_name(df, decoded)))
+
+
 def digests(docs: DataFrame, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of every document's text."""
     vocabulary = Vocabulary(docs.sparkSession)
     kept = docs.select(*keep, F.col("text").alias("_text"))
-    done = decode_ids(encode_texts(kept, vocabulary, "_text", "_ids"), vocabulary, "_ids", "_bytes")
+    done = encode_and_decode(kept, vocabulary, "_text", "_ids", "_bytes")
     return done.select(
         *keep, F.floor(F.octet_length("_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_bytes", 256).alias("decoded_sha256"),

@@ -71,6 +71,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+_HELD: dict = {}
+
+
+def held(key: object, build: Callable[[], object] | None = None):
+    """What this Python process keeps between batches, built on first use. A
+    process serves one operator after another: the last one's state goes."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build() if build else None
+    return _HELD[key]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores in front while the table has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windlass.llm import sql
-from windlass.llm.common import free_name, materialise, query, table
+from windlass.llm.common import free_name, held, materialise, query, table
 from windlass.llm.shingles import WORDS, text_shingles
 from windlass.operators.graph import connected_components
 
@@ -169,7 +169,7 @@ def link_texts(
 
     @F.pandas_udf("fp binary, size long, keys array<bigint>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        own = Sketcher(trees, depth)
+        own = held(("sketcher", trees, depth), lambda: Sketcher(trees, depth))
         return pd.DataFrame([own(t) for t in texts], columns=["fp", "size", "keys"])
 
     made = docs.withColumn(names["uid"], F.monotonically_increasing_id()).withColumn(

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlass.llm.common import free_name, query, table
+from windlass.llm.common import free_name, held, query, table
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -169,13 +169,13 @@ def _line_count(text: str) -> int:
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
     chunk: list[str] = []
-    held = 0
+    size = 0
     for text in texts:
-        if chunk and held + len(text) > CHUNK_BYTES:
+        if chunk and size + len(text) > CHUNK_BYTES:
             yield chunk
-            chunk, held = [], 0
+            chunk, size = [], 0
         chunk.append(text)
-        held += len(text)
+        size += len(text)
     if chunk:
         yield chunk
 
@@ -211,6 +211,7 @@ def quality_rules(
 
     @F.pandas_udf(", ".join(f"{c} {t}" for c, t in COLUMNS.items()))
     def judge(texts: pd.Series) -> pd.DataFrame:
+        held("quality rules")
         parts = [measure(chunk, min_repeat, max_covered, max_repeat)
                  for chunk in _chunks([t or "" for t in texts])]
         return pd.concat(parts, ignore_index=True) if parts else measure([])

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windlass.llm import sql
-from windlass.llm.common import free_name, materialise, materialise_by, query, table
+from windlass.llm.common import free_name, held, materialise, materialise_by, query, table
 from windlass.llm.suffix_grouping import suffix_array
 
 LENGTH = 100
@@ -190,7 +190,8 @@ def _send(buckets: int, hot: np.ndarray, length: int, gram: int) -> Callable:
         return pd.DataFrame(out, columns=["kind", "bucket", "uid", "data"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, held = [], 0
+        held("contexts")
+        parts, size = [], 0
         for batch in batches:
             for uid, doc, text in zip(batch["uid"], batch["id"], batch["text"]):
                 data = np.frombuffer(text.encode("utf-8"), np.uint8)
@@ -200,10 +201,10 @@ def _send(buckets: int, hot: np.ndarray, length: int, gram: int) -> Callable:
                 own = _split_hot(own, strings, hot)
                 own["uid"], own["id"] = uid, doc
                 parts.append(own)
-                held += len(data)
-                if held >= FLUSH_BYTES:
+                size += len(data)
+                if size >= FLUSH_BYTES:
                     yield flush(parts)
-                    parts, held = [], 0
+                    parts, size = [], 0
         if parts:
             yield flush(parts)
 
@@ -310,9 +311,9 @@ def _resolve(length: int) -> Callable:
         live = sorted(live, key=lambda c: c[0]) if len(live) > 1 else []
         at = 0
         while at < len(live):
-            stop, held = at, 0
-            while stop < len(live) and (held < SORT_BYTES or live[stop][0] == live[stop - 1][0]):
-                held += len(live[stop][2])
+            stop, size = at, 0
+            while stop < len(live) and (size < SORT_BYTES or live[stop][0] == live[stop - 1][0]):
+                size += len(live[stop][2])
                 stop += 1
             found += repeated_strings([c[1:] for c in live[at:stop]], length)
             at = stop

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlass.llm.common import free_name, query, table
+from windlass.llm.common import free_name, held, query, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 START = "▁"
@@ -135,9 +135,6 @@ class Counter:
         return len(words), sum(counts) + unknown, unknown
 
 
-_COUNTERS: dict[int, Counter] = {}
-
-
 def count_tokens(
     df: DataFrame, pieces: Sequence[str], text: str = "text",
 ) -> DataFrame:
@@ -149,10 +146,7 @@ def count_tokens(
 
     @F.pandas_udf("n_words long, n_tokens long, n_unknown long")
     def count(texts: pd.Series) -> pd.DataFrame:
-        if key not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[key] = Counter(LongestMatch(vocabulary.value))
-        own = _COUNTERS[key]
+        own = held(key, lambda: Counter(LongestMatch(vocabulary.value)))
         return pd.DataFrame([own.text(t) for t in texts],
                             columns=["n_words", "n_tokens", "n_unknown"])
 

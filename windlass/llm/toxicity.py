@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windlass.llm.common import free_name, query, table
+from windlass.llm.common import free_name, held, query, table
 
 TRAIN_ROWS = 20_000
 FOLDS = 5
@@ -222,15 +222,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-_READERS: dict[int, Reader] = {}
-
-
 def _reader(insults: dict[str, float]) -> Reader:
     key = hash(tuple(sorted(insults.items())))
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = Reader(insults)
-    return _READERS[key]
+    return held(("reader", key), lambda: Reader(insults))
 
 
 def score_texts(
