@@ -34,7 +34,7 @@ MIN_REPEAT = 50
 MAX_COVERED = 0.4
 MAX_REPEAT = 2_000
 # Bytes of the texts that are sorted together; a longer text is sorted alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 256 << 10
 _WORDS = re.compile("[^\x20\x09-\x0d]+").findall
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
