@@ -64,3 +64,29 @@ cut AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS t
 SELECT doc_id, CAST(len(b) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
   coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(b, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN cut USING (doc_id)"""
+
+
+SOURCE_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+uses AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g
+  JOIN kept k USING (lang) LEFT JOIN uses USING (lang, source, term)),
+p AS MATERIALIZED (SELECT *, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER g + 2 * count(*) OVER g) AS p
+  FROM dense WINDOW g AS (PARTITION BY lang, source)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (total + 2)) //
+  (sum(total) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q FROM kept),
+pairs AS (SELECT a.lang, a.source, b.source AS item, 'pair' AS part, coalesce(v, 0) AS value
+  FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b
+    ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS v
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+terms AS (SELECT lang, source, term AS item, 'term' AS part, (p - q) * (p - q) // (p + q) AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT lang, source, part, item, value FROM pairs UNION ALL BY NAME SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 10"""
