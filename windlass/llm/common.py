@@ -47,11 +47,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, row_check: int | None = None) -> DataFrame:
     """Write to the shared scratch folder and read back: cuts the lineage,
-    survives lost executors, and lets joins on it be split when skewed."""
+    survives lost executors, and lets joins on it be split when skewed. Rows of
+    megabytes need a `row_check`: their size is looked at after so many."""
     path = scratch_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20)
+    if row_check:
+        writer = writer.option("parquet.page.size.row.check.min", row_check)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

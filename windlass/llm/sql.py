@@ -90,3 +90,27 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
   FROM (SELECT lang, source, part, item, value FROM pairs UNION ALL BY NAME SELECT * FROM terms))
 WHERE part = 'pair' OR rank <= 10"""
+
+
+def vector_codes(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Lloyd rounds spelled out over components in long form."""
+    nearest = f"""AS MATERIALIZED (SELECT r, p, min(d * {entries} + e) AS m FROM (
+      SELECT r, p, e, sum((x - y) * (x - y)) AS d FROM parts JOIN b{{k}} USING (p, i) GROUP BY ALL) GROUP BY ALL)"""
+    steps = "".join(f""",
+a{k + 1} {nearest.format(k=k)},
+b{k + 1} AS MATERIALIZED (SELECT p, e, i, CASE WHEN c IS NULL THEN y ELSE (s - ((s % c) + c) % c) // c END AS y
+  FROM b{k} LEFT JOIN (SELECT p, m % {entries} AS e, i, sum(x) AS s, count(*) AS c
+    FROM parts JOIN a{k + 1} USING (r, p) GROUP BY ALL) USING (p, e, i))""" for k in range(rounds))
+    return f"""
+WITH base AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+parts AS MATERIALIZED (SELECT r, (i - 1) // (n // {parts}) AS p, (i - 1) % (n // {parts}) AS i,
+    CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT r, len(v) AS n, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM base)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, i, CAST(x AS HUGEINT) AS y FROM parts WHERE r <= {entries}){steps},
+final {nearest.format(k=rounds)},
+coded AS (SELECT r, string_agg(printf('%02x', CAST(m % {entries} AS BIGINT)), '' ORDER BY p) AS code,
+  CAST(sum(m // {entries}) AS BIGINT) AS error FROM final GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, i)) FROM b{rounds}) AS codebooks_sha256
+FROM base JOIN coded USING (r)"""
