@@ -1,12 +1,15 @@
 """Ordered rating over the whole log, distributed.
 
-Pools are independent. Inside a pool, a stretch of races splits into groups
-of sailors that never meet in it; each group is rated by one task. Small logs
-are one lazy plan with a group per pool. Larger logs go through in stretches
-("blocks") whose groups stay below `max_group_rows`: block results and the
-state after each block are tables in the shared folder, so nothing whole sits
-in one task or the driver and lost executors only repeat their tasks. A race
-larger than a group is a block of its own, rated by distributed prefix sums.
+Pools are independent. Small logs are one lazy plan with a group per pool.
+Larger logs go by waves: a race's wave is one more than the latest wave of its
+sailors, so the races of a wave never touch each other, however linked the log
+is. Waves are assigned in stretches of the log side by side, one job for all.
+Then a wide wave is one step over all tasks, dealt out race by race, with the
+state joined to it by sailor; narrow waves go together, a task for each group
+of sailors that meet. Step results and, now and then, the state are tables in
+the shared folder, so nothing whole sits in one task or the driver and lost
+executors only repeat their tasks. A race larger than a group is a step of its
+own, rated by distributed prefix sums.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,17 +26,22 @@ from pyspark.sql import functions as F
 from windlass.operators.classic_kernel import (
     ClassicOptions, classic_finish, classic_group, classic_partial,
 )
-from windlass.operators.graph import connected_components
 from windlass.operators.groups import attach, hot_groups, rank_in_group
 from windlass.operators.large_field import rival_sums
 from windlass.operators.one_race import rate_races
 from windlass.operators.rating_kernel import (
-    CHANCE_DIGITS, FoldOptions, chance_partial, fold_group,
+    CHANCE_DIGITS, FoldOptions, chance_partial, fold_group, waves_and_groups,
 )
 from windlass.session import cut_lineage, scratch_path
 
 MAX_GROUP_ROWS = 1_000_000
 BUCKETS = 4096
+# Rows whose waves one task assigns; it holds two numbers for each.
+LEVEL_ROWS = 4_000_000
+# Rows a core should get for a wave to be worth a step of its own.
+WIDE_TASK_ROWS = 20_000
+# Steps after which the state is written anew.
+FOLD_IN_EVERY = 8
 
 ROW = ["pool", "seq", "race", "team", "line", "rank", "key"]
 
@@ -146,7 +155,7 @@ def fold_ratings(
     biggest = rows.groupBy("pool").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if biggest <= max_group_rows:
         return _rate(_with_state(rows, state, spec), ["pool"], spec)
-    return _fold_in_blocks(rows, spec, state, max_group_rows)
+    return _fold_in_steps(rows, spec, state, max_group_rows)
 
 
 def _bucket_counts(rows: DataFrame, low: int, high: int) -> list[tuple[int, int, int]]:
@@ -160,67 +169,162 @@ def _bucket_counts(rows: DataFrame, low: int, high: int) -> list[tuple[int, int,
     return [(low + r.b * width, min(low + (r.b + 1) * width - 1, high), r.n) for r in counts]
 
 
-def _components(block: DataFrame) -> DataFrame:
-    """(pool, key, component): sailors linked by races of the block."""
-    node = F.concat_ws("\u0001", "pool", "key")
-    hub = block.groupBy("pool", "seq").agg(F.min("key").alias("_hub"))
-    edges = block.join(hub, ["pool", "seq"]).select(
-        node.alias("a"), F.concat_ws("\u0001", "pool", "_hub").alias("b")
-    ).distinct()
-    return connected_components(edges).select(
-        F.split_part("node", F.lit("\u0001"), F.lit(1)).alias("pool"),
-        F.split_part("node", F.lit("\u0001"), F.lit(2)).alias("key"), "component",
-    )
-
-
-def _fold_in_blocks(
-    rows: DataFrame, spec: FoldSpec, state: DataFrame | None, max_group_rows: int
-) -> DataFrame:
-    spark: SparkSession = rows.sparkSession
-    log_path, out_path = scratch_path(spark, "fold-log"), scratch_path(spark, "fold-out")
-    # Sorted by seq, so the filter of a block skips the other files.
-    rows.repartitionByRange("seq").sortWithinPartitions("seq").write.parquet(log_path)
-    log = spark.read.parquet(log_path)
+def _stretches(
+    log: DataFrame, max_group_rows: int, level_rows: int
+) -> list[tuple[int, int, int]]:
+    """(first seq, last seq, rows) of consecutive stretches of at most
+    `level_rows`; one seq of more than `max_group_rows` is a stretch of its own."""
     low, high = log.agg(F.min("seq"), F.max("seq")).first()
     todo = _bucket_counts(log, low, high)[::-1]
-    cap = max_group_rows * 4 * spark.sparkContext.defaultParallelism
-    target, number = cap, 0
+    out: list[tuple[int, int, int]] = []
+    closed = True
     while todo:
         first, last, size = todo.pop()
         if size > max_group_rows and last > first:
             todo.extend(_bucket_counts(log, first, last)[::-1])
             continue
-        taken = [(first, last, size)]
-        single = size > max_group_rows
-        while todo and not single and size + todo[-1][2] <= target:
-            if todo[-1][2] > max_group_rows:
-                break
-            nxt = todo.pop()
-            taken.append(nxt)
-            last, size = nxt[1], size + nxt[2]
-        block = log.filter(F.col("seq").between(first, last))
-        if size <= max_group_rows:
-            done = _rate(_with_state(block, state, spec), ["pool"], spec)
-        elif len(taken) == 1:
-            done = spec.large_race(_with_state(block, state, spec), max_group_rows)
+        alone = size > max_group_rows
+        if out and not closed and not alone and out[-1][2] + size <= level_rows:
+            out[-1] = (out[-1][0], last, out[-1][2] + size)
+        else:
+            out.append((first, last, size))
+        closed = alone
+    return out
+
+
+def assign_waves(log: DataFrame, stretches: list[tuple[int, int, int]]) -> DataFrame:
+    """(pool, stretch, seq, race_id, wave, linked, n) of every race.
+
+    Stretches are looked at side by side, one task for each and pool, which
+    holds two numbers a row. A race's wave is one more than the latest wave of
+    its sailors in the stretch; stretches follow each other, so waves in the
+    order of (stretch, wave) never need a later one. `linked` names what the
+    stretch's races of a pool link together.
+    """
+    firsts = np.array([first for first, _, _ in stretches], np.int64)
+
+    @F.pandas_udf("int")
+    def stretch(seq: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(firsts, seq.to_numpy(), "right") - 1).astype("int32")
+
+    def levels(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["seq", "race_id"], kind="stable")
+        race = rows.groupby(["seq", "race_id"], sort=False).ngroup().to_numpy()
+        wave, linked = waves_and_groups(race, rows["sailor"].to_numpy())
+        first = np.flatnonzero(np.r_[True, race[1:] != race[:-1]])
+        return pd.DataFrame({
+            "pool": key[0], "stretch": key[1], "seq": rows["seq"].to_numpy()[first],
+            "race_id": rows["race_id"].to_numpy()[first], "wave": wave[first],
+            "linked": linked[first], "n": np.diff(np.r_[first, len(race)]),
+        })
+
+    narrow = log.select(
+        "pool", stretch("seq").alias("stretch"), "seq", F.xxhash64("race").alias("race_id"),
+        F.xxhash64("key").alias("sailor"))
+    return narrow.groupBy("pool", "stretch").applyInPandas(
+        levels, "pool string, stretch int, seq long, race_id long, wave long, linked long, n long")
+
+
+def cut_by_width(
+    widths: list[tuple[int, int, int, int]], max_group_rows: int, wide_rows: int, most_rows: int,
+) -> list[tuple[int, int, int, int]]:
+    """(stretch, wave, rows, rows of the largest linked group) in order ->
+    (stretch, wave, step, tasks): a wave whose largest group is wide is a step of
+    its own, dealt out race by race over so many tasks (its races are
+    independent); narrow waves go together, a task for each linked group (0),
+    while no group can exceed `max_group_rows` and all stay below `most_rows`."""
+    out, step, linked, total, now = [], -1, 0, 0, None
+    for stretch, wave, rows, largest in widths:
+        wide = largest >= wide_rows
+        fits = linked + largest <= max_group_rows and total + rows <= most_rows
+        if wide or now != stretch or not fits:
+            step, linked, total = step + 1, 0, 0
+        linked, total = linked + largest, total + rows
+        now = None if wide else stretch
+        tasks = max(1, -(-rows // max(1, wide_rows // 8))) if wide else 0
+        out.append((stretch, wave, step, tasks))
+    return out
+
+
+class _Ratings:
+    """The state while steps are rated: a base table, and what came after it,
+    which is folded into the base now and then."""
+
+    def __init__(self, spark: SparkSession, state: DataFrame | None, spec: FoldSpec) -> None:
+        self.spark, self.base, self.spec = spark, state, spec
+        self.recent: list[str] = []
+
+    def attach(self, rows: DataFrame) -> DataFrame:
+        if not self.recent:
+            return _with_state(rows, self.base, self.spec)
+        names = {c: f"_new_{c}" for c in self.spec.state}
+        new = final_state(self._recent(), None, self.spec).select(
+            "pool", "key", *[F.col(c).alias(n) for c, n in names.items()], F.lit(True).alias("_new"))
+        both = _with_state(rows, self.base, self.spec).join(new, ["pool", "key"], "left")
+        return both.withColumns({
+            c: F.when(F.col("_new"), F.col(n)).otherwise(F.col(c)) for c, n in names.items()
+        }).drop("_new", *names.values())
+
+    def _recent(self) -> DataFrame:
+        return self.spark.read.schema(self.spec.output).parquet(*self.recent)
+
+    def add(self, path: str) -> None:
+        self.recent.append(path)
+        if len(self.recent) >= FOLD_IN_EVERY:
+            state = final_state(self._recent(), self.base, self.spec)
+            self.base = self.spark.read.parquet(_stored(state, "state"))
+            self.recent = []
+
+
+def _fold_in_steps(
+    rows: DataFrame, spec: FoldSpec, state: DataFrame | None, max_group_rows: int,
+    wide_rows: int | None = None, level_rows: int = LEVEL_ROWS,
+) -> DataFrame:
+    """Rate a large log by waves: a wide wave over all tasks, narrow ones together."""
+    spark: SparkSession = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    wide_rows = wide_rows or max(1, min(WIDE_TASK_ROWS * cores, max_group_rows // 4))
+    log_path, out_path = scratch_path(spark, "fold-log"), scratch_path(spark, "fold-out")
+    # Sorted by seq, so the filter of a stretch skips the other files.
+    rows.repartitionByRange("seq").sortWithinPartitions("seq").write.parquet(log_path)
+    log = spark.read.parquet(log_path)
+    stretches = _stretches(log, max_group_rows, level_rows)
+    alone = [k for k, (_, _, n) in enumerate(stretches) if n > max_group_rows]
+    in_one_race = F.lit(False)
+    for k in alone:
+        in_one_race |= F.col("seq") == stretches[k][0]
+    levels = spark.read.parquet(_stored(assign_waves(log.filter(~in_one_race), stretches), "waves"))
+    # One row per wave: as many as the longest chains of races have links.
+    widths = [tuple(r) for r in (
+        levels.groupBy("stretch", "wave", "pool", "linked").agg(F.sum("n").alias("n"))
+        .groupBy("stretch", "wave").agg(F.sum("n").alias("rows"), F.max("n").alias("most"))
+        .orderBy("stretch", "wave").collect())]
+    plan = cut_by_width(widths, max_group_rows, wide_rows, max_group_rows * 4 * cores)
+    staged_path = scratch_path(spark, "fold-steps")
+    if plan:
+        steps = spark.createDataFrame(plan, "stretch int, wave long, step long, tasks long")
+        slot = F.when(F.col("tasks") == 0, F.xxhash64("stretch", "linked")).otherwise(
+            F.pmod(F.xxhash64("seq", "race_id"), F.col("tasks")))
+        placed = levels.join(steps, ["stretch", "wave"]).select(
+            "pool", "seq", "race_id", "step", slot.alias("slot"))
+        (log.withColumn("race_id", F.xxhash64("race")).join(placed, ["pool", "seq", "race_id"])
+         .drop("race_id").repartition("step", F.pmod("slot", F.lit(cores)))
+         .write.partitionBy("step").parquet(staged_path))
+    order = [(stretch, step) for stretch, step in
+             dict.fromkeys((stretch, step) for stretch, _, step, _ in plan)]
+    order = sorted(order + [(k, -1) for k in alone])
+    ratings = _Ratings(spark, state, spec)
+    for number, (stretch, step) in enumerate(order):
+        if step < 0:
+            block = log.filter(F.col("seq") == stretches[stretch][0])
+            done = spec.large_race(ratings.attach(block), max_group_rows)
         else:
-            linked = spark.read.parquet(_stored(_components(block), "components"))
-            tagged = block.join(linked, ["pool", "key"])
-            most = tagged.groupBy("pool", "component").agg(F.count("*").alias("n")).agg(
-                F.max("n")
-            ).first()[0]
-            if most > max_group_rows:
-                # Too linked: put the ranges back and take a shorter stretch.
-                todo.extend(taken[::-1])
-                target = max(size // 2, max_group_rows)
-                continue
-            done = _rate(_with_state(tagged, state, spec), ["pool", "component"], spec)
-            target = min(target * 2, cap)
+            block = spark.read.parquet(f"{staged_path}/step={step}")
+            done = _rate(ratings.attach(block), ["pool", "slot"], spec)
         path = f"{out_path}/block={number}"
         done.write.parquet(path)
-        state = spark.read.parquet(_stored(final_state(spark.read.parquet(path), state, spec), "state"))
-        number += 1
-    return spark.read.parquet(out_path).drop("block")
+        ratings.add(path)
+    return spark.read.schema(f"{spec.output}, block int").parquet(out_path).drop("block")
 
 
 def _stored(df: DataFrame, name: str) -> str:

@@ -43,6 +43,26 @@ def waves(race: np.ndarray, player: np.ndarray) -> np.ndarray:
     return out
 
 
+def waves_and_groups(race: np.ndarray, player: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Wave and group of each row; rows as for `waves`. A group is what its
+    races link, directly or through others, named by one of its players."""
+    parent: dict[int, int] = {}
+
+    def root(p: int) -> int:
+        while (up := parent.setdefault(p, p)) != p:
+            parent[p] = p = parent[up]
+        return p
+
+    names = player.tolist()
+    starts = np.flatnonzero(np.r_[True, race[1:] != race[:-1]])
+    for lo, hi in zip(starts.tolist(), np.r_[starts[1:], len(race)].tolist()):
+        first = root(names[lo])
+        for p in names[lo + 1:hi]:
+            parent[root(p)] = first
+    heads = np.repeat([root(names[lo]) for lo in starts.tolist()], np.diff(np.r_[starts, len(race)]))
+    return waves(race, player), heads
+
+
 def _starts(*cols: np.ndarray) -> np.ndarray:
     change = np.zeros(len(cols[0]), dtype=bool)
     change[0] = True
