@@ -107,5 +107,10 @@ def needs_fetch(
 
 
 def quoted_list(text: Column) -> Column:
-    """"['A', 'B']" -> array('A','B')."""
-    return F.regexp_extract_all(text, F.lit("'([^']*)'"), F.lit(1))
+    """"['A', \"O'Brien\"]" -> array('A', "O'Brien"): items in either kind of
+    quotes, with backslash escapes."""
+    item = r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(item), F.lit(1)),
+        lambda q: F.regexp_replace(F.substring(q, F.lit(2), F.length(q) - 2), r"\\(.)", "$1"),
+    )

@@ -1,14 +1,18 @@
-"""Races and wins of chosen sailors against everyone they met.
+"""Races and wins of sailors against everyone they met, by season.
 
-Only pairs (chosen sailor, rival) are formed, never all pairs of a race: the
+For chosen sailors only pairs (chosen sailor, rival) are formed, never all pairs of a race: the
 work is (chosen sailors in a race) x (its field). The field of a large race
 is spread over `parts` salted groups, and counts combine before the shuffle.
+For all sailors (`fleet_everyone`, `match_everyone`) blocks of races count
+their pairs themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,3 +79,112 @@ def win_ratios(totals: DataFrame) -> DataFrame:
     return summed.withColumn(
         "win_ratio", F.try_divide(F.col("wins").cast("double"), F.col("races"))
     )
+
+
+# Rows of a task of the full count, and of one side of a race within it.
+BLOCK_ROWS = 50_000
+SIDE_ROWS = 2_000
+_PAIRS_HELD = 2_000_000
+
+
+def _pair_counts(rows: pd.DataFrame, by_score: bool) -> pd.DataFrame:
+    """Counts of all (key, rival) of the races of one block: sailors of the
+    block's first part of a race meet those of its second."""
+    names, keys = pd.factorize(rows["key"])
+    rows = rows.assign(who=names).sort_values("race_no", kind="stable")
+    race = rows["race_no"].to_numpy()
+    who, value = rows["who"].to_numpy().astype(np.int64), rows["value"].to_numpy(dtype=float)
+    side, part = rows["side_no"].to_numpy(), rows["part"].to_numpy()
+    low, high = rows["low"].iat[0], rows["high"].iat[0]
+    found: list[np.ndarray] = []
+    held = 0
+
+    def combine() -> None:
+        pair, races, wins = np.concatenate(found, axis=1)
+        if not len(pair):
+            return
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        found[:] = [np.stack([pair[first], np.add.reduceat(races[order], first),
+                              np.add.reduceat(wins[order], first)])]
+
+    starts = np.flatnonzero(np.r_[True, race[1:] != race[:-1]])
+    for lo, hi in zip(starts.tolist(), np.r_[starts[1:], len(race)].tolist()):
+        own = np.arange(lo, hi)
+        a, b = own[part[lo:hi] == low], own[part[lo:hi] == high]
+        x, y = (m.ravel() for m in np.meshgrid(a, b, indexing="ij"))
+        apart = (who[x] != who[y]) & ((side[x] != side[y]) if not by_score else True)
+        x, y = x[apart], y[apart]
+        ways = [(x, y)] if low == high else [(x, y), (y, x)]
+        for one, other in ways:
+            wins = value[other] > value[one] if by_score else value[one] > 0
+            found.append(np.stack([who[one] << 32 | who[other], np.ones(len(one), np.int64),
+                                   wins.astype(np.int64)]))
+            held += len(one)
+        if held > _PAIRS_HELD:
+            combine()
+            held = 0
+    combine()
+    pair, races, wins = found[0]
+    return pd.DataFrame({
+        "key": keys[pair >> 32], "pos": rows["pos"].iat[0], "rival": keys[pair & 0xFFFFFFFF],
+        "season": rows["season"].iat[0], "races": races, "wins": wins})
+
+
+def _everyone(
+    rows: DataFrame, race_keys: list[str], regatta: str, by_score: bool,
+    block_rows: int, side_rows: int,
+) -> DataFrame:
+    """Season totals of everybody against everybody they met.
+
+    The sailor-by-race table is cut in two directions: races into blocks (a
+    regatta's races together, as the same people meet in them again) and the
+    field of a large race into parts, every two of which meet in one task. A
+    task sums its pairs before they are shuffled and returns those that met.
+    """
+    race_no = F.xxhash64(*race_keys)
+    # Bounded blocks of a regatta, bounded parts of a race.
+    blocks = rows.groupBy(regatta).agg(
+        F.ceil(F.count("*") / block_rows).alias("_blocks"))
+    fields = rows.groupBy(*race_keys).agg(F.ceil(F.count("*") / side_rows).alias("_parts"))
+    placed = rows.join(blocks, regatta).join(fields, race_keys).select(
+        "pos", "season", "key", "value", "side_no", race_no.alias("race_no"),
+        F.xxhash64(regatta, F.pmod(race_no, F.col("_blocks"))).alias("block"),
+        F.pmod(F.xxhash64("key"), F.col("_parts")).alias("part"), "_parts")
+    met = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(
+        F.least("part", j).alias("low"), F.greatest("part", j).alias("high")))
+    spread = placed.select("*", F.inline(met)).drop("_parts")
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        return _pair_counts(group, by_score)
+
+    return (
+        spread.groupBy("block", "pos", "season", "low", "high")
+        .applyInPandas(count, "key string, pos string, rival string, season string, "
+                              "races bigint, wins bigint")
+        .groupBy("key", "pos", "rival", "season")
+        .agg(F.sum("races").alias("races"), F.sum("wins").alias("wins")))
+
+
+def fleet_everyone(
+    entries: DataFrame, race_keys: Sequence[str], regatta: str = "regatta",
+    block_rows: int = BLOCK_ROWS, side_rows: int = SIDE_ROWS,
+) -> DataFrame:
+    """entries: race_keys.., regatta, pos, season, key, score -> key, pos, rival,
+    season, races, wins. The lower score wins."""
+    rows = entries.filter("score is not null and key is not null").withColumns(
+        {"value": F.col("score").cast("double"), "side_no": F.lit(0)})
+    return _everyone(rows, list(race_keys), regatta, True, block_rows, side_rows)
+
+
+def match_everyone(
+    members: DataFrame, match_keys: Sequence[str], regatta: str = "regatta",
+    block_rows: int = BLOCK_ROWS, side_rows: int = SIDE_ROWS,
+) -> DataFrame:
+    """members: match_keys.., regatta, pos, season, key, side, outcome -> the same
+    of the other side's sailors."""
+    won = F.when(F.col("outcome") == "win", 1.0).otherwise(0.0)
+    rows = members.filter("key is not null").withColumns(
+        {"value": won, "side_no": (F.col("side") == "A").cast("int")})
+    return _everyone(rows, list(match_keys), regatta, False, block_rows, side_rows)

@@ -12,7 +12,7 @@ from windlass.operators.groups import attach
 from windlass.plans import domain
 from windlass.plans.domain import ENTRIES_SQL, MATCHES_SQL, SAILORS_SQL, table
 from windlass.plans.registry import query
-from windlass.plans.unify import number_boats
+from windlass.plans.unify import merge_identities, number_boats
 
 SAILORS_WITH = "WITH " + SAILORS_SQL.strip()
 
@@ -187,8 +187,6 @@ def boat_pairing(spark, sf):
     FROM m GROUP BY key""",
 )
 def identity_merge(spark, sf):
-    from windlass.plans.unify import merge_identities
-
     merges = domain.sailors(spark, sf).filter("s_suppkey % 10 = 0 and s_suppkey > 0").select(
         F.col("key").alias("old_key"),
         F.concat(F.lit("sup-"), (F.col("s_suppkey") - 9).cast("string")).alias("new_key"),
@@ -200,6 +198,29 @@ def identity_merge(spark, sf):
     )
 
 
+@query(
+    "identity_chains", "D12 J08",
+    ENTRIES_SQL + """, m AS (SELECT 'sup-' || (CAST(regexp_extract(key, 'sup-(\\d+)', 1) AS INTEGER) // 5 * 5) AS key,
+      key AS old, score FROM entries WHERE key LIKE 'sup-%')
+    SELECT key, count(*) AS entries, count(DISTINCT old) AS identities, CAST(sum(score) AS BIGINT) AS total
+    FROM m GROUP BY key""",
+)
+def identity_chains(spark, sf):
+    """Merges that follow each other: every key ends at the fifth below it."""
+    e = domain.entries(spark, sf).filter("key like 'sup-%'").withColumn("old", F.col("key"))
+    number = F.regexp_extract("s_key", r"sup-(\d+)", 1).cast("int")
+    merges = e.select(F.col("key").alias("s_key")).distinct().withColumn("n", number).filter("n % 5 <> 0")
+    # Each step of a chain is there, also over keys without entries.
+    steps = merges.select(F.explode(F.sequence(F.floor(F.col("n") / 5) * 5 + 1, F.col("n"))).alias("n"))
+    chains = steps.distinct().select(
+        F.concat(F.lit("sup-"), F.col("n").cast("string")).alias("old_key"),
+        F.concat(F.lit("sup-"), (F.col("n") - 1).cast("string")).alias("new_key"))
+    return merge_identities(e, chains).groupBy("key").agg(
+        F.count("*").alias("entries"), F.count_distinct("old").alias("identities"),
+        F.sum("score").alias("total"),
+    )
+
+
 @query(
     "region_exposure", "D13 D15 F09 F10 E10",
     ENTRIES_SQL + """, r AS (SELECT race, pos, key, CASE WHEN region = 'ASIA' THEN 'AMERICA' ELSE region END

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from windlass.operators.groups import hot_groups, rank_in_group, top_k
-from windlass.operators.head_to_head import fleet_head_to_head, match_head_to_head, win_ratios
+from windlass.operators.head_to_head import (
+    fleet_everyone, fleet_head_to_head, match_everyone, match_head_to_head, win_ratios,
+)
 from windlass.operators.ordering import latest_before
 from windlass.plans import domain
 from windlass.plans.boards import leaderboards, pool_ranks
@@ -231,6 +233,27 @@ def match_rivals(spark, sf):
     return match_head_to_head(members, focus, ["race", "pos"])
 
 
+@query(
+    "fleet_head_to_head_seasons", "D13 E13 Q33",
+    ENTRIES_SQL + """, e AS (SELECT race, pos, season, key, score FROM entries WHERE score IS NOT NULL)
+    SELECT a.key, a.pos, b.key AS rival, a.season, count(*) AS races, count(*) FILTER (b.score > a.score) AS wins
+    FROM e a JOIN e b ON a.race = b.race AND a.pos = b.pos AND a.key <> b.key GROUP BY 1, 2, 3, 4""",
+)
+def fleet_rivals_of_everyone(spark, sf):
+    return fleet_everyone(domain.entries(spark, sf), ["race", "pos"])
+
+
+@query(
+    "match_head_to_head_seasons", "D14 E13",
+    ALL_SQL + """ SELECT a.key, a.pos, b.key AS rival, a.season, count(*) AS races,
+      count(*) FILTER (a.outcome = 'win') AS wins
+    FROM members a JOIN members b ON a.race = b.race AND a.pos = b.pos AND a.side <> b.side
+      AND a.key <> b.key GROUP BY 1, 2, 3, 4""",
+)
+def match_rivals_of_everyone(spark, sf):
+    return match_everyone(domain.match_members(spark, sf), ["race", "pos"])
+
+
 @query(
     "rank_matrix", "F06 E26 D17",
     """WITH m AS (SELECT n_name AS team, strftime(o_orderdate, '%Y') AS date, sum(o_totalprice) AS v

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from windlass.functions import ids
 from windlass.operators.groups import hot_groups, rank_in_group
+from windlass.session import cut_lineage
 
 WOMEN_MINIMUM = 4
 
@@ -79,9 +80,31 @@ def match_boats(matches: DataFrame) -> DataFrame:
     return both.filter(F.col("key").isNotNull() & ~F.col("key").contains(ids.UNKNOWN))
 
 
+def resolve_merges(merges: DataFrame) -> DataFrame:
+    """(old_key, new_key) with every chain followed to its end: A->B and B->C
+    give A->C and B->C. Of several targets of a key the least counts; a key
+    merged into itself is none; a cycle is an error. Each round doubles the
+    steps followed, so a chain of n merges takes about log2(n) joins.
+    """
+    own = (
+        merges.filter("old_key is not null and new_key is not null and old_key <> new_key")
+        .groupBy("old_key").agg(F.min("new_key").alias("new_key")))
+    own = cut_lineage(own)
+    for _ in range(max(1, own.count()).bit_length() + 1):
+        then = own.select(F.col("old_key").alias("new_key"), F.col("new_key").alias("_then"))
+        own = cut_lineage(own.join(then, "new_key", "left").select(
+            "old_key", F.coalesce("_then", "new_key").alias("new_key"),
+            F.col("_then").isNotNull().alias("_moved")))
+        if own.filter("_moved").isEmpty():
+            return own.select("old_key", "new_key")
+        own = own.drop("_moved")
+    raise ValueError("identity merges form a cycle")
+
+
 def merge_identities(df: DataFrame, merges: DataFrame, col: str = "key") -> DataFrame:
     """Replace old keys by their canonical one; unlisted keys stay."""
-    renamed = merges.select(F.col("old_key").alias(col), F.col("new_key").alias("_new"))
+    renamed = resolve_merges(merges).select(
+        F.col("old_key").alias(col), F.col("new_key").alias("_new"))
     return df.join(renamed, col, "left").withColumn(
         col, F.coalesce("_new", col)
     ).select(*df.columns)
