@@ -160,27 +160,45 @@ def test_contexts_find_repeats(seed, hot):
         assert got == gone
 
 
-def test_item_index():
+def test_shared_shingles_are_exact():
     rng = random.Random(1)
-    words = [f"w{i}" for i in range(3000)]
-    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(3, 40)))) for k in range(60)]
-    index = decontamination.ItemIndex(items, 0.8)
+    words = [f"w{i}" for i in range(300)]
+    items = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(60)]
     for _ in range(150):
-        item, text = rng.choice(items)
-        own = text.split()
+        own = rng.choice(items).split()
         cut = own[:max(1, int(len(own) * rng.choice([0.5, 0.85, 1])))]
-        noise = [rng.choice(words) for _ in range(rng.randint(0, 3000))]
+        noise = [rng.choice(words) for _ in range(rng.randint(0, 300))]
         doc = " ".join([*noise, *cut, *noise[:50]]).upper()
-        have = {tuple(doc.lower().split()[i:i + 5]) for i in range(len(doc.split()) - 4)}
-        want = set()
-        for k, t in items:
-            w = t.split()
-            shingles = {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
-            if shingles and len(shingles & have) / len(shingles) >= 0.8:
-                want.add(k)
-        assert {h["item_id"] for h in index.hits(doc)} == want
-    assert index.hits(None) == [] and index.hits("") == []
-    assert decontamination.ItemIndex([(1, "too short")], 0.8).hits("too short") == []
+        have = doc.lower().split()
+        for item, got in zip(items, decontamination.shared_shingles(doc, items)):
+            w = item.split()
+            n = min(5, len(w))
+            shingles = {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+            shared = len(shingles & {tuple(have[i:i + n]) for i in range(len(have) - n + 1)})
+            assert got == (shared, shared / len(shingles))
+
+
+@pytest.mark.parametrize("n_item, n_doc", [(1, 300), (2, 5000), (10, 64), (33, 1100), (40, 20_000)])
+def test_signatures_meet_with_the_recall_they_were_cut_for(n_item, n_doc):
+    """Items that share just enough with random documents, among many trials."""
+    rng = np.random.default_rng(n_item)
+    shift = decontamination.bin_shift(decontamination.item_class(n_item), 0.8, 0.99)
+    shared = int(np.ceil(0.8 * n_item))
+    found, trials, kept = 0, 300, 0
+    for _ in range(trials):
+        doc = np.unique(rng.integers(0, 2**64, n_doc, np.uint64))
+        item = rng.choice(doc, shared, replace=False)
+        own = decontamination.signature(doc, shift)
+        kept += len(own) / len(doc) / trials
+        found += bool(np.isin(own, item).any())
+    assert found >= 0.97 * trials
+    assert n_item < 30 or kept < 0.5  # long items need a sketch only
+    assert decontamination.signature(np.zeros(0, np.uint64), 3).size == 0
+
+
+def test_longer_items_take_fewer_bins():
+    shifts = [decontamination.bin_shift(bits) for bits in range(10)]
+    assert shifts == sorted(shifts) and shifts[0] < 0 < shifts[6]
 
 
 @pytest.mark.parametrize("rule, hit, miss", [

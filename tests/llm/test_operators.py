@@ -178,22 +178,23 @@ def test_decontamination(session):
     rows = corpus(3)
     long = [(i, t) for i, t in rows if t and len(t.split()) > 40 and i is not None]
     items = [(k, " ".join(t.split()[5:5 + 8 + k])) for k, (_, t) in enumerate(long[:6])]
-    items += [(90, None), (None, "x y z a b c"), (91, "too short"), (1, items[0][1])]
+    items += [(90, None), (None, "x y z a b c"), (91, "one two"), (1, items[0][1]),
+              (92, items[0][1].upper() + "\n")]
     table = session.createDataFrame(items, "item_id long, text string")
-    want = set()
+    want = collections.Counter()
     for d, t in rows:
         have = (t or "").lower().split()
-        have = {tuple(have[i:i + 5]) for i in range(len(have) - 4)}
         for k, item in items:
             w = (item or "").lower().split()
-            shingles = {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
-            if k is not None and shingles and len(shingles & have) / len(shingles) >= 0.8:
-                want.add((d, k))
-    for block in (10 ** 6, 12):
-        got = decontamination.contained_items(documents(session, rows), table, block_words=block)
-        assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+            n = min(5, len(w))
+            runs = {tuple(have[i:i + n]) for i in range(len(have) - n + 1)}
+            shingles = {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+            if n and len(shingles & runs) / len(shingles) >= 0.8:
+                want[d, k, len(shingles & runs)] += 1
+    got = decontamination.contained_items(documents(session, rows), table)
+    assert collections.Counter((r["doc_id"], r["item_id"], r["shared"]) for r in got.collect()) == want
     df = documents(session, rows)
-    hit = {d for d, _ in want}
+    hit = {d for d, *_ in want}
     clean = decontamination.without_items(df, table)
     assert clean.columns == df.columns
     assert {r["doc_id"] for r in clean.collect()} >= {d for d, _ in rows if d not in hit}

@@ -28,9 +28,16 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> head THEN head END AS refers_to,
   payload_digest AS declared_digest FROM h"""
 
+# Items of fewer words than a shingle are runs of all their words: texts are
+# cut into such runs too.
+_RUNS = """SELECT DISTINCT doc_id, n || ':' || array_to_string(w[i:i + n - 1], ' ') AS g FROM (
+    SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (
+      SELECT doc_id, %s AS w FROM documents), (SELECT DISTINCT len(%s) AS n FROM benchmark) WHERE n BETWEEN 1 AND %d)""" % (
+    _SPLIT.format(text="lower(coalesce(text, ''))"), _SPLIT.format(text="coalesce(text, '')"), shingles.WIDTH - 1)
+
 DECONTAMINATION = f"""
-WITH d AS ({word_shingles("documents", "doc_id", "lower(text)", False)}),
-q AS ({word_shingles("benchmark", "item_id", "lower(text)", False)}),
+WITH d AS ({word_shingles("documents", "doc_id", "lower(text)", False)} UNION ALL {_RUNS}),
+q AS ({word_shingles("benchmark", "item_id", "lower(text)", True)}),
 n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1)
 SELECT doc_id, item_id, count(*) AS shared, count(*) / any_value(n)::DOUBLE AS containment
 FROM d JOIN q USING (g) JOIN n USING (item_id) GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n)"""
