@@ -122,6 +122,21 @@ def test_common_counts_and_depth():
     assert 1 - (1 - 0.8 ** depth) ** 28 >= 0.9999 > 1 - (1 - 0.8 ** (depth + 1)) ** 28
 
 
+def test_prefixes_are_shortened_until_the_recall_is_met():
+    rng = np.random.default_rng(5)
+    for listed in (0, 1, 7, 28):
+        counts = np.sort(rng.integers(2, 500, (listed, 4)), axis=1)[:, ::-1]
+        lengths = jaccard_join.shorten(counts, 5, 28)
+        miss = (1 - 0.8 ** 5) ** (28 - listed) * np.prod(1 - 0.8 ** lengths.astype(float))
+        assert miss <= 1e-4 * 1.001
+        assert listed < 28 or miss > 1e-5 * 1.6  # no further than needed
+    # Crowded nodes stay deep, those that cost nothing are opened first.
+    counts = np.array([[900, 900, 900, 2]] * 5 + [[2, 2, 2, 2]] * 23)
+    lengths = jaccard_join.shorten(counts, 5, 28)
+    assert lengths[:5].tolist() == [8] * 5 and lengths[5:].mean() < 6
+    assert jaccard_join.shorten(np.zeros((0, 4), int), 5, 28).size == 0
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(0, 2 ** 30), st.sampled_from([0, 3]))
 def test_contexts_find_repeats(seed, hot):

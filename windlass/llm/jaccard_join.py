@@ -1,11 +1,15 @@
 """N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
 
 Texts are sets of five-word shingles. Rows with equal sets are copies: one of
-them stands for all. Each of `TREES` trees labels a set with a sequence of
-minimum hashes; in a tree sorted by label, the sets below a trie node share a
-prefix. The prefix starts at the full label and is shortened until a pair at
-the threshold shares it in some tree with at least the target chance. Sets
-that share a prefix are candidates.
+them stands for all. Each of `TREES` trees orders the sets by a label, a
+sequence of `LABEL` minimum hashes; the sets below a node of its prefix trie
+share a prefix. A set starts with its full label in every tree and its prefixes
+are shortened one step at a time, always where the next node adds the fewest
+sets for the chance gained, until a text at the threshold shares one of them
+with the chance `RECALL`. A prefix so short that it reaches the chance in all
+trees alike (`prefix_depth`) is as far as any goes: a set alone there has no
+candidates in the tree, so only shared nodes are looked at further down. What
+is below one of a set's nodes is a candidate for it.
 
 Candidates are then compared exactly without a row for each pair: a set's home
 is the least set in two steps over shared nodes, homes are cut into blocks of bounded
@@ -25,6 +29,8 @@ stay, clashing names get `_` in front.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -59,15 +65,43 @@ def prefix_depth(
     return depth
 
 
+def shorten(
+    counts: np.ndarray, depth: int, trees: int, threshold: float = THRESHOLD,
+    recall: float = RECALL,
+) -> np.ndarray:
+    """Prefix lengths of one set. counts[k, d] is the number of sets that share
+    its prefix of length depth + d in a tree; in the trees not listed it is
+    alone at `depth`, so that length costs nothing there."""
+    miss = np.log1p(-threshold ** np.arange(depth, depth + counts.shape[1]))
+    left = (trees - len(counts)) * miss[0] + len(counts) * miss[-1] - np.log1p(-recall)
+    last = counts.shape[1] - 1
+    lengths = np.full(len(counts), last)
+
+    def step(k: int) -> tuple[float, int]:
+        d = lengths[k]
+        return ((counts[k, d - 1] - counts[k, d]) / (miss[d] - miss[d - 1]), k)
+
+    todo = [step(k) for k in range(len(counts))] if last else []
+    heapq.heapify(todo)
+    while left > 1e-9 and todo:
+        _, k = heapq.heappop(todo)
+        left -= miss[lengths[k]] - miss[lengths[k] - 1]
+        lengths[k] -= 1
+        if lengths[k]:
+            heapq.heappush(todo, step(k))
+    return depth + lengths
+
+
 class Sketcher:
-    """Fingerprint of a shingle set, its size, and its prefix in every tree."""
+    """Fingerprint of a shingle set, its size, its shortest prefix in every tree
+    and what follows it in the label, two bytes a hash."""
 
-    def __init__(self, trees: int, depth: int) -> None:
+    def __init__(self, trees: int, depth: int, label: int) -> None:
         rng = np.random.default_rng(_SEED)
-        self.trees, self.depth = trees, depth
-        self.factor = (rng.integers(1, 1 << 32, trees * depth, np.uint64) | np.uint64(1)
+        self.trees, self.depth, self.label = trees, depth, label
+        self.factor = (rng.integers(1, 1 << 32, trees * label, np.uint64) | np.uint64(1)
                        ).astype(np.uint32)[:, None]
-        self.shift = rng.integers(0, 1 << 32, trees * depth, np.uint64).astype(np.uint32)[:, None]
+        self.shift = rng.integers(0, 1 << 32, trees * label, np.uint64).astype(np.uint32)[:, None]
 
     def minima(self, shingles: np.ndarray) -> np.ndarray:
         low = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -80,14 +114,15 @@ class Sketcher:
             np.minimum(out, mixed.min(axis=1), out=out)
         return out
 
-    def __call__(self, text: str | None) -> tuple[bytes | None, int, list[int]]:
+    def __call__(self, text: str | None) -> tuple[bytes | None, int, list[int], bytes | None]:
         shingles = text_shingles(WORDS(text or ""))
         if not len(shingles):
-            return None, 0, []
-        labels = self.minima(shingles).reshape(self.trees, self.depth)
-        keys = [xxhash.xxh3_64_intdigest(labels[k].tobytes(), k) - (1 << 63)
+            return None, 0, [], None
+        labels = self.minima(shingles).reshape(self.trees, self.label)
+        keys = [xxhash.xxh3_64_intdigest(labels[k, :self.depth].tobytes(), k) - (1 << 63)
                 for k in range(self.trees)]
-        return xxhash.xxh3_128_digest(shingles.tobytes()), len(shingles), keys
+        rest = labels[:, self.depth:].astype(np.uint16).tobytes()
+        return xxhash.xxh3_128_digest(shingles.tobytes()), len(shingles), keys, rest
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -162,41 +197,42 @@ def link_texts(
     """All rows with class_id, n_links and is_first (the class's first row)."""
     depth = prefix_depth(trees, LABEL, threshold, recall)
     names = {n: free_name(docs, n) for n in
-             ("uid", "fp", "size", "keys", "sketch", "class_id", "n_links", "is_first",
+             ("uid", "fp", "size", "keys", "rest", "sketch", "class_id", "n_links", "is_first",
               "set_fp", "set_class", "first_uid", "set_links")}
     set_fp, set_class, first_uid, set_links = (
         F.col(names[n]) for n in ("set_fp", "set_class", "first_uid", "set_links"))
 
-    @F.pandas_udf("fp binary, size long, keys array<bigint>")
+    @F.pandas_udf("fp binary, size long, keys array<bigint>, rest binary")
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        own = held(("sketcher", trees, depth), lambda: Sketcher(trees, depth))
-        return pd.DataFrame([own(t) for t in texts], columns=["fp", "size", "keys"])
+        own = held(("sketcher", trees, depth), lambda: Sketcher(trees, depth, LABEL))
+        return pd.DataFrame([own(t) for t in texts], columns=["fp", "size", "keys", "rest"])
 
     made = docs.withColumn(names["uid"], F.monotonically_increasing_id()).withColumn(
         names["sketch"], sketch(F.col(text).cast("string")))
     staged = materialise(made.select(
         *docs.columns, names["uid"],
-        *[F.col(f"{names['sketch']}.{c}").alias(names[c]) for c in ("fp", "size", "keys")],
+        *[F.col(f"{names['sketch']}.{c}").alias(names[c]) for c in ("fp", "size", "keys", "rest")],
     ), "join-texts")
     narrow = staged.select(
         F.col(names["uid"]).alias("uid"), F.col(doc_id).cast("long").alias("id"),
         F.col(names["fp"]).alias("fp"), F.col(names["size"]).alias("size"),
-        F.col(names["keys"]).alias("keys"))
+        F.col(names["keys"]).alias("keys"), F.col(names["rest"]).alias("rest"))
     head = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
     copies = materialise(
         narrow.filter("fp is not null").groupBy("fp")
         # Copies have the same size and keys.
         .agg(F.min(head).alias("head"), F.count("*").alias("copies"),
-             F.first("size").alias("size"), F.first("keys").alias("keys"))
+             F.first("size").alias("size"), F.first("keys").alias("keys"),
+             F.first("rest").alias("rest"))
         .withColumn("rep", F.col("head.uid")), "join-copies")
-    sets = copies.select("rep", "size", F.explode("keys").alias("key"))
+    sets = _forest(copies, depth, trees, threshold, recall)
     links = materialise(_verified(sets, copies, staged, names["uid"], text, threshold,
                                   block_shingles), "join-links")
     per_set = links.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(links.filter("rep <> root").select(
         F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     labelled = (
-        copies.drop("size", "keys").join(classes, "rep", "left")
+        copies.drop("size", "keys", "rest").join(classes, "rep", "left")
         .withColumn("component", F.coalesce("component", "rep")).join(per_set, "rep", "left"))
     labelled = materialise(labelled, "join-sets")
     heads = materialise(
@@ -217,6 +253,43 @@ def link_texts(
     )
 
 
+def _forest(
+    copies: DataFrame, depth: int, trees: int, threshold: float, recall: float,
+) -> DataFrame:
+    """(rep, size, key) of the sets below every node that one of them goes up to."""
+    rest = 2 * (LABEL - depth)
+    prefixes = copies.select(
+        "rep", "size", "rest", F.posexplode("keys").alias("tree", "key"))
+    shared = materialise(
+        prefixes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "join-prefixes")
+    own = F.substring("rest", F.col("tree") * rest + 1, F.lit(rest))
+    # The node of each length from the shortest prefix to the full label.
+    nodes = F.array(F.col("key"), *[
+        F.xxhash64("key", F.lit(d), F.substring(F.col("own"), 1, 2 * d))
+        for d in range(1, LABEL - depth + 1)])
+    paths = materialise(
+        prefixes.join(shared.select("key"), "key").withColumn("own", own)
+        .select("rep", "size", "tree", F.posexplode(nodes).alias("d", "node")), "join-paths")
+    counted = paths.join(
+        paths.groupBy("node").agg(F.count("*").alias("n")), "node")
+    per_set = counted.groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct("tree", "d", "n", "node"))).alias("at"))
+    steps = LABEL - depth + 1
+
+    @F.pandas_udf("array<bigint>")
+    def chosen(counts: pd.Series) -> pd.Series:
+        return pd.Series([
+            shorten(np.asarray(c, np.int64).reshape(-1, steps), depth, trees, threshold, recall)
+            - depth for c in counts])
+
+    # One node per tree: the one its prefix was shortened to.
+    at = F.transform("lengths", lambda d, k: F.get("at", (k * steps + d).cast("int"))["node"])
+    active = (
+        per_set.withColumn("lengths", chosen("at.n"))
+        .select(F.explode(at).alias("node")).distinct())
+    return paths.join(active, "node").select("rep", "size", F.col("node").alias("key"))
+
+
 def _verified(
     sets: DataFrame, copies: DataFrame, staged: DataFrame, uid: str, text: str,
     threshold: float, block_shingles: int,
