@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +13,8 @@ from windlass.plans import domain
 from windlass.plans.domain import SAILORS_SQL, table
 from windlass.plans.registry import query
 from windlass.session import scratch_path
-from windlass.sources import files, sinks
+from windlass.sources import fetch, files, sinks
+from windlass.sources.store import DocumentStore
 
 SAILORS_WITH = "WITH " + SAILORS_SQL.strip()
 
@@ -102,6 +105,34 @@ def page_cache(spark, sf):
     )
 
 
+_DRAW = "CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % 12"
+
+
+def _planted_failures(request):
+    """The stored page, after failures planted by a digest of the url."""
+    draw = int(hashlib.md5(request.url.encode()).hexdigest()[:8], 16) % 12
+    if draw == 0:
+        return fetch.Response(404, None)
+    if draw == 1 or request.attempt <= draw - 8:
+        raise TimeoutError("planted")
+    return fetch.Response(200, request.cached)
+
+
+@query(
+    "page_fetch", "A05 A19",
+    f"""SELECT url, CASE d WHEN 0 THEN 404 WHEN 1 THEN 0 ELSE 200 END AS status,
+      CASE WHEN d > 1 THEN md5(html) END AS digest, CASE WHEN d = 1 THEN 5 ELSE greatest(1, d - 7) END AS tries,
+      CASE d WHEN 0 THEN 'HTTP 404' WHEN 1 THEN 'TimeoutError: planted' END AS error
+    FROM (SELECT url, max(html) AS html, CAST({_DRAW} AS INTEGER) AS d FROM pages WHERE url IS NOT NULL GROUP BY url)""",
+)
+def page_fetch(spark, sf):
+    """All urls fetched from the cached pages, with failures to retry."""
+    urls = table(spark, sf, "pages").select("url", F.col("html").alias("cached"))
+    got = fetch.fetch_pages(urls, _planted_failures, tries=5, wait=0.001)
+    return got.select("url", F.coalesce("status", F.lit(0)).alias("status"),
+                      F.md5("html").alias("digest"), "tries", "error")
+
+
 @query(
     "delta_of_new_rows", "B02 C15 D05",
     """SELECT o_orderkey, o_orderstatus FROM orders
@@ -197,6 +228,53 @@ def collection_truncate(spark, sf):
     )
 
 
+@query(
+    "document_store", "B05 B06 H02",
+    """SELECT 'c/' || c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN c_name || '*' ELSE c_name END AS name,
+      CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer
+    UNION ALL SELECT 's/' || s_suppkey, s_name, NULL FROM supplier""",
+)
+def document_store(spark, sf):
+    """Three committed batches, one of them sent twice."""
+    own = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "name", "segment")])
+    docs = DocumentStore(spark, scratch_path(spark, "documents"), own, "id", buckets=8)
+    people = table(spark, sf, "customer").select(
+        F.concat(F.lit("c/"), F.col("c_custkey").cast("string")).alias("id"),
+        F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), "c_acctbal", "c_custkey")
+    docs.merge(people.select(*own.names), "customers")
+    changed = people.filter("c_acctbal > 5000").select("id", F.concat("name", F.lit("*")).alias("name"))
+    added = table(spark, sf, "supplier").select(
+        F.concat(F.lit("s/"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"))
+    for _ in range(2):
+        docs.merge(changed.unionByName(added), "changes")
+    cleared = people.filter("c_custkey % 10 = 0").select("id", F.lit(None).cast("string").alias("segment"))
+    docs.merge(cleared, "cleared")
+    return docs.read()
+
+
+@query(
+    "document_tree_delete", "B10",
+    """SELECT id FROM (SELECT r_name || '/' || n_name AS id, r_name AS top FROM nation JOIN region ON n_regionkey = r_regionkey
+      UNION ALL SELECT r_name || '/' || n_name || '/' || c_custkey, r_name FROM customer
+        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    WHERE NOT starts_with(id, 'ASIA/')""",
+)
+def document_tree_delete(spark, sf):
+    """A region's documents and all below them, deleted by pages, with a stop in between."""
+    own = T.StructType([T.StructField("id", T.StringType())])
+    docs = DocumentStore(spark, scratch_path(spark, "tree"), own, "id", buckets=8)
+    nation = table(spark, sf, "nation").join(
+        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = F.concat_ws("/", "r_name", "n_name")
+    below = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    docs.merge(nation.select(path.alias("id")).unionByName(below.select(
+        F.concat_ws("/", path, F.col("c_custkey").cast("string")).alias("id"))), "all")
+    total = docs.read().count()
+    docs.delete_tree("ASIA/", page=max(10, total // 8), max_pages=1)
+    docs.delete_tree("ASIA/", page=max(10, total // 8))
+    return docs.read()
+
+
 @query(
     "limited_document_scan", "A20 G05",
     "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
