@@ -254,7 +254,13 @@ def test_grammar_marks():
     assert marks("He is not an idiot!") == {"insult_3": 2.0}
     assert marks("They said he is scum") == {"insult_5": 1.0}
     assert marks("not so. Idiots") == {"insult_0": 2.0}
-    assert marks("kill them") == {"threat_0": 1.0}
+    # A target, or a word of reporting, may follow as well.
+    assert marks("kill them") == {"threat_1": 1.0}
+    assert marks("idiot, that is what you are") == {"insult_1": 2.0}
+    assert marks("i will kill you, he said") == {"threat_5": 1.0}
+    # A clause has one pattern: its heaviest word's marks; repeats count half.
+    assert marks("idiot or not a scum") == {"insult_0": 2.5}
+    assert marks("idiot, kill it; idiot idiot") == {"both_0": 3.0, "insult_0": 3.0}
     assert marks("scummy oidiot") == {} == marks(None) == marks("")
 
 
@@ -275,3 +281,44 @@ def test_warc_parser_reads_continued_fields():
     assert rows[0][0] == "<a>" and rows[0][2] == ["<b>", "<c>"] and rows[0][7]["id"] == "4"
     with pytest.raises(ValueError):
         list(warc.parse_records(record[:-20]))
+
+
+def test_composed_transducers_mark_what_the_rules_say():
+    """All rules by their definition, over random clauses."""
+    rng = random.Random(8)
+    reader = toxicity.Reader({"idiot": 2.0})
+    t = toxicity
+    for _ in range(3000):
+        n = rng.randrange(1, 14)
+        kinds = [rng.choice([t.OTHER, t.OTHER, t.OTHER, t.INSULT, t.THREAT, t.TARGET, t.NEGATION,
+                             t.REPORT]) for _ in range(n)]
+        weights = [rng.choice([0.5, 1.0, 2.5]) for _ in range(n)]
+        found, seen = [], set()
+        for i, kind in enumerate(kinds):
+            if kind not in (t.INSULT, t.THREAT):
+                continue
+            near = [kinds[j] for j in range(n) if j != i and abs(i - j) <= t.TARGET_SCOPE]
+            marks = (t.AIMED * (t.TARGET in near)
+                     | t.NEGATED * (t.NEGATION in kinds[max(0, i - t.SCOPE):i])
+                     | t.REPORTED * (t.REPORT in kinds))
+            found.append((weights[i] * (0.5 if kind in seen else 1), -i, kind, marks))
+            seen.add(kind)
+        got = reader.read_clause(kinds, weights)
+        if not found:
+            assert got is None
+            continue
+        kind = 2 if len({f[2] for f in found}) > 1 else found[0][2] - t.INSULT
+        assert got == (8 * kind + max(found)[3], pytest.approx(sum(f[0] for f in found)))
+
+
+def test_held_objects_give_way_to_each_other():
+    from windlass.llm import common
+
+    common._HELD.clear()
+    for key in "abcd":
+        common.held(key, lambda: key)
+        common.held("a", lambda: "a")
+    assert list(common._HELD) == ["c", "d", "a"]
+    common.held("needs memory")
+    assert list(common._HELD) == ["needs memory"]
+    common._HELD.clear()

@@ -75,13 +75,18 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 _HELD: dict = {}
+HELD_OBJECTS = 3
 
 
 def held(key: object, build: Callable[[], object] | None = None):
     """What this Python process keeps between batches, built on first use. A
-    process serves one operator after another: the last one's state goes."""
-    if key not in _HELD:
-        _HELD.clear()
+    process serves several operators: what was used longest ago goes, and all of
+    it before an operator that needs memory but keeps nothing (no `build`)."""
+    if key in _HELD:
+        _HELD[key] = _HELD.pop(key)
+    else:
+        while len(_HELD) >= (HELD_OBJECTS if build else 1):
+            del _HELD[next(iter(_HELD))]
         _HELD[key] = build() if build else None
     return _HELD[key]
 

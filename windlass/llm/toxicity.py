@@ -2,12 +2,19 @@
 
 A lexicon turns words into classes: insults (learned word beginnings, each with
 the log odds of its training rows), threats, targets, negations and words of
-reporting. Small letter transducers rewrite a clause's classes: an insult or
-threat near a target is marked as aimed, one in the scope of a negation as
-negated, one after a word of reporting as reported. They are composed into one
-transducer, which reads each clause that has an insult or threat once. What it
-emits, summed by mark, is the text's evidence; a logistic model fitted on
-training rows weighs it.
+reporting. Five transducers rewrite a clause's classes and weigh its arcs: the
+insult and the threat transducer weigh each word of their kind, a repeated one
+at half; the target transducer marks those near a target as aimed, the negation
+transducer those in the scope of a negation as negated, and the one of reported
+speech those of a clause with a word of reporting as reported. What stands
+before a word and what follows it both count, so the grammar is a bimachine:
+the transducers are composed into one that reads a clause forwards and one that
+reads its output backwards.
+
+A clause matches a pattern (insult, threat or both, with the marks of its
+heaviest word) and its weight is the sum along its arcs. Final weights of the
+patterns are fitted on training rows: a text's score is a logistic function of
+its clauses' weights by pattern. `matched_clauses` returns the clauses.
 
 Only the training fold teaches: labelled rows whose crc32(doc_id) mod 5 is not
 0, at most about `TRAIN_ROWS` of them, chosen by a hash. Scores see the text
@@ -24,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterable
 
 import ahocorasick
@@ -41,7 +49,6 @@ FOLDS = 5
 MIN_TOXIC_ROWS = 6
 MAX_CLEAN_SHARE = 0.05
 PREFIXES = range(4, 9)
-MAX_LEXICON = 20_000
 
 THREATS = "kill hurt destroy burn shoot stab töten vernichten matar destruir tuer détruire"
 TARGETS = ("you your he him she her they them people everyone du dich ihr euch sie er "
@@ -52,43 +59,62 @@ REPORTS = ("said says told wrote reported according claims sagte sagt schrieb la
 SCOPE = 3
 TARGET_SCOPE = 5
 
+REPEATED_SHARE = 0.5
+
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 AIMED, NEGATED, REPORTED = 1, 2, 4
 _WORD = re.compile(r"\w+|[,\"«»„“”:]")
 _CLAUSE_END = re.compile(r"[.!?;\n]")
 
 
+Symbol = tuple[int, int]
+
+
 class Transducer:
-    """Deterministic letter transducer; a symbol is (class, marks)."""
+    """Deterministic weighted transducer over (class, marks): a step gives the
+    next state, what is written and the arc's weight. Weights of composed arcs
+    multiply; along a path they are summed, each times its word's own weight."""
 
     def __init__(self, start, step) -> None:
         self.start, self.step = start, step
 
     def compose(self, other: Transducer) -> Transducer:
-        """Feeds what this one emits to the other."""
+        """Feeds what this one writes to the other."""
 
         def step(state, symbol):
-            mine, out = self.step(state[0], symbol)
-            theirs, out = other.step(state[1], out)
-            return (mine, theirs), out
+            mine, out, one = self.step(state[0], symbol)
+            theirs, out, two = other.step(state[1], out)
+            return (mine, theirs), out, one * two
 
         return Transducer((self.start, other.start), step)
 
-    def table(self, symbols: Iterable[tuple[int, int]]) -> dict:
-        """All reachable arcs: (state number, class) -> (state number, symbol)."""
+    def table(self, symbols: Iterable[Symbol]) -> dict:
+        """All reachable arcs: (state number, symbol) -> (state number, written, weight)."""
+        symbols = list(symbols)
         number, queue, arcs = {self.start: 0}, [self.start], {}
         while queue:
             state = queue.pop()
             for symbol in symbols:
-                to, out = self.step(state, symbol)
+                to, out, weight = self.step(state, symbol)
                 if to not in number:
                     number[to] = len(number)
                     queue.append(to)
-                arcs[number[state], symbol[0]] = (number[to], out)
+                arcs[number[state], symbol] = (number[to], out, weight)
         return arcs
 
 
-def _after(trigger: int, mark: int, scope: int | None) -> Transducer:
+def weighing(kind: int, repeated: float = REPEATED_SHARE) -> Transducer:
+    """Arcs of a kind of word: the clause's first one counts whole."""
+
+    def step(seen, symbol):
+        if symbol[0] != kind:
+            return seen, symbol, 1.0
+        return True, symbol, repeated if seen else 1.0
+
+    return Transducer(False, step)
+
+
+def marking(trigger: int, mark: int, scope: int | None) -> Transducer:
     """Marks insults and threats within `scope` words after the trigger, or in
     all of the rest of the clause."""
 
@@ -97,31 +123,34 @@ def _after(trigger: int, mark: int, scope: int | None) -> Transducer:
         if kind in (INSULT, THREAT) and left:
             marks |= mark
         if kind == trigger:
-            return (scope or 1), symbol
-        return (max(0, left - 1) if scope else left), (kind, marks)
+            return (scope or 1), symbol, 1.0
+        return (max(0, left - 1) if scope else left), (kind, marks), 1.0
 
     return Transducer(0, step)
 
 
-def grammar() -> dict:
-    """The composed transducer as a table, started anew for each clause."""
-    composed = (
-        _after(NEGATION, NEGATED, SCOPE)
-        .compose(_after(REPORT, REPORTED, None))
-        .compose(_after(TARGET, AIMED, TARGET_SCOPE))
-    )
-    return composed.table([(k, 0) for k in range(6)])
+def grammar() -> tuple[dict, dict]:
+    """The composed transducers of both directions, started anew for each clause."""
+    target = marking(TARGET, AIMED, TARGET_SCOPE)
+    report = marking(REPORT, REPORTED, None)
+    ahead = (
+        weighing(INSULT).compose(weighing(THREAT)).compose(marking(NEGATION, NEGATED, SCOPE))
+        .compose(report).compose(target))
+    back = report.compose(target)
+    return (ahead.table((k, 0) for k in range(6)),
+            back.table((k, m) for k in range(6) for m in range(8)))
 
 
-FEATURES = [f"{kind}_{marks}" for kind in ("insult", "threat") for marks in range(8)]
+PATTERNS = [(kind, marks) for kind in ("insult", "threat", "both") for marks in range(8)]
+FEATURES = [f"{kind}_{marks}" for kind, marks in PATTERNS]
 
 
 class Reader:
-    """Per-task reader: texts to evidence by kind and marks."""
+    """Per-process reader: texts to matched clauses."""
 
     def __init__(self, insults: dict[str, float]) -> None:
         self.insults = insults
-        self.arcs = grammar()
+        self.ahead, self.back = grammar()
         self.classes = {w: k for k, words in (
             (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS),
         ) for w in words.split()}
@@ -146,27 +175,53 @@ class Reader:
             found[start] = max(weight, found.get(start, 0.0))
         return found
 
-    def evidence(self, text: str | None) -> np.ndarray:
-        out = np.zeros(len(FEATURES))
+    def read_clause(self, classes: list[int], weights: list[float]) -> tuple[int, float] | None:
+        """(pattern, weight) of a clause's words, None if it matches none."""
+        state, written, arcs = 0, [], []
+        for kind in classes:
+            state, out, arc = self.ahead[state, (kind, 0)]
+            written.append(out)
+            arcs.append(arc)
+        state, total, heaviest, marks, kinds = 0, 0.0, -1.0, 0, set()
+        for at in range(len(written) - 1, -1, -1):
+            state, (kind, own), arc = self.back[state, written[at]]
+            if kind not in (INSULT, THREAT):
+                continue
+            weight = arcs[at] * arc * weights[at]
+            total += weight
+            kinds.add(kind)
+            # Of equal ones the clause's first.
+            if weight >= heaviest:
+                heaviest, marks = weight, own
+        if not kinds:
+            return None
+        return 8 * (2 if len(kinds) > 1 else kinds.pop() - INSULT) + marks, total
+
+    def clauses(self, text: str | None) -> list[tuple[int, int, int, float]]:
+        """(start, end, pattern, weight) of all matched clauses, in order."""
         text = (text or "").lower()
         hits = self.hits(text) if text else {}
-        done = 0
+        out, done = [], 0
         for at in sorted(hits):
             if at < done:
                 continue
             first = max(done, max(text.rfind(c, done, at) for c in ".!?;\n") + 1)
             stop = _CLAUSE_END.search(text, at)
             done = stop.start() if stop else len(text)
-            state = 0
+            kinds, weights = [], []
             for m in _WORD.finditer(text, first, done):
                 weight = hits.get(m.start())
-                if weight:
-                    kind = INSULT
-                else:
-                    kind = self.classes.get(m.group(), OTHER)
-                state, (_, marks) = self.arcs[state, kind]
-                if kind in (INSULT, THREAT):
-                    out[(kind - INSULT) * 8 + marks] += weight or 1.0
+                kinds.append(INSULT if weight else self.classes.get(m.group(), OTHER))
+                weights.append(weight or 1.0)
+            found = self.read_clause(kinds, weights)
+            if found:
+                out.append((first, done, *found))
+        return out
+
+    def evidence(self, text: str | None) -> np.ndarray:
+        out = np.zeros(len(FEATURES))
+        for _, _, pattern, weight in self.clauses(text):
+            out[pattern] += weight
         return np.log1p(out)
 
 
@@ -196,9 +251,9 @@ def learn_insults(rows: DataFrame) -> dict[str, float]:
     counted = (
         words.select("row", "toxic", F.explode(stems).alias("stem")).distinct()
         .groupBy("stem").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
+        # As many as the bounded training rows have beginnings in common.
         .filter((F.col("bad") >= MIN_TOXIC_ROWS)
-                & (F.col("all") - F.col("bad") <= MAX_CLEAN_SHARE * F.col("all")))
-        .orderBy(F.desc("bad"), "stem").limit(MAX_LEXICON))
+                & (F.col("all") - F.col("bad") <= MAX_CLEAN_SHARE * F.col("all"))))
     found = {r["stem"]: math.log((r["bad"] + 0.5) / (r["all"] - r["bad"] + 0.5))
              for r in counted.collect()}
     # A beginning that a shorter one covers adds nothing.
@@ -222,32 +277,51 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def _reader(insults: dict[str, float]) -> Reader:
-    key = hash(tuple(sorted(insults.items())))
-    return held(("reader", key), lambda: Reader(insults))
+def _reader(name: str, insults: dict[str, float]) -> Reader:
+    return held(("reader", name), lambda: Reader(insults))
 
 
 def score_texts(
     docs: DataFrame, insults: dict[str, float], weights: np.ndarray, text: str = "text",
 ) -> DataFrame:
     """Adds the score of each whole text."""
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        own = _reader(insults)
+        own = _reader(name, insults)
         x = np.array([own.evidence(t) for t in texts]).reshape(-1, len(FEATURES))
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
 
     return docs.withColumn(free_name(docs, "score"), score(F.col(text).cast("string")))
 
 
+def matched_clauses(
+    docs: DataFrame, insults: dict[str, float], weights: np.ndarray, text: str = "text",
+) -> DataFrame:
+    """Adds the matched clauses of each text: place in characters, pattern, weight
+    along the arcs and the part of the text's log odds it would have alone."""
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("array<struct<start:long,end:long,pattern:string,weight:double,log_odds:double>>")
+    def clauses(texts: pd.Series) -> pd.Series:
+        own = _reader(name, insults)
+        return pd.Series([[
+            {"start": a, "end": z, "pattern": FEATURES[k], "weight": w,
+             "log_odds": float(weights[k] * np.log1p(w))} for a, z, k, w in own.clauses(t)]
+            for t in texts], dtype=object)
+
+    return docs.withColumn(free_name(docs, "clauses"), clauses(F.col(text).cast("string")))
+
+
 def fit(rows: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     """Lexicon and weights from training rows (text, toxic)."""
     insults = learn_insults(rows)
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("array<double>")
     def evidence(texts: pd.Series) -> pd.Series:
-        own = _reader(insults)
+        own = _reader(name, insults)
         return pd.Series([own.evidence(t) for t in texts])
 
     got = rows.select(evidence("text").alias("x"), F.col("toxic").cast("double").alias("y"))
