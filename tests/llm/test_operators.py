@@ -158,13 +158,13 @@ def repeats_truth(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [200_000, 1e-9])
-def test_suffix_dedup(session, hot, monkeypatch):
+@pytest.mark.parametrize("hot, routes", [(200_000, 4096), (1e-9, 4096), (200_000, 3)])
+def test_suffix_dedup(session, hot, routes, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SAMPLE", 1.0)
     rows = corpus(2)
     want = repeats_truth(rows, 30)
     df = documents(session, rows).coalesce(1)
-    got = suffix_dedup.remove_repeats(df, length=30, gram=8, hot_contexts=hot)
+    got = suffix_dedup.remove_repeats(df, length=30, gram=8, hot_contexts=hot, routes=routes)
     assert got.columns[:len(df.columns)] == df.columns
     got = got.withColumn("whole", suffix_dedup.whole_characters(F.col("_kept"))).collect()
     key = lambda d, t, k: (str(d), str(t), bytes(k))

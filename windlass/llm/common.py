@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +70,18 @@ def materialise_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFram
     (df.repartition(buckets, key).write.format("parquet").option("compression", "zstd")
      .option("parquet.block.size", 16 << 20).option("path", path)
      .bucketBy(buckets, key).sortBy(key).saveAsTable(label))
+    atexit.register(_forget, spark, label)
     return spark.table(label)
 
 
+def _forget(spark: SparkSession, label: str) -> None:
+    """Drop a scratch table's catalog entry; its files go with the scratch folder."""
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {label}")
+    except (Py4JError, PySparkException):
+        pass  # the session has ended before this program
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -15,7 +15,11 @@ without bringing the corpus together:
   suffixes with a common prefix of `length` bytes, whose first alone stays.
 * An anchor with more than `HOT_CONTEXTS` contexts, as estimated from a
   sample, is not met as a whole: its strings go out one by one under their
-  own hash. The sample decides only that; either way is exact.
+  own hash. The sample decides only that; both ways give the same strings.
+
+Contexts count as equal if two 64-bit hashes are, one over the anchor's gram and
+one over all bytes (for single strings: one over all bytes and one over grams
+that cover them). Bytes are looked at where suffix arrays decide.
 
 Documents are ordered by id (null last), then by input position.
 
@@ -46,10 +50,16 @@ BUCKET_BYTES = 12 << 20
 FLUSH_BYTES = 4 << 20
 # Bytes sorted at once; a larger group of contexts is sorted alone.
 SORT_BYTES = 64 << 10
+# More buckets than this are reached in two steps, over so many routes.
+ROUTES = 4096
+# Packed contexts of a route that are parted again at once.
+ROUTE_BYTES = 64 << 20
 HOT_CONTEXTS = 200_000
 SAMPLE = 0.01
-# Text bytes in one file of the staged documents.
+# Text bytes in one bucket of the staged documents, while they are as few as
+# this; Spark refuses more than 100,000.
 FILE_BYTES = 64 << 20
+MOST_FILES = 50_000
 
 _POSITION = np.uint64((1 << 24) - 1)
 _PIECE = 1 << 23
@@ -102,7 +112,7 @@ def contexts_of(
     """(contexts as ANCHOR rows without id and uid, string hashes)."""
     n = len(data) - length + 1
     if n <= 0:
-        return np.zeros(0, ANCHOR), np.zeros(0, np.uint64)
+        return np.zeros(0, ANCHOR), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     grams, strings = _hashes(data, gram, length)
     parts = []
     for low in range(0, n, _PIECE):
@@ -125,11 +135,15 @@ def contexts_of(
     mixed = (mixed + out["strings"].astype(np.uint64) * np.uint64(1009)
              + out["offset"].astype(np.uint64)) * _FACTORS[6]
     out["content"] = mixed ^ (mixed >> np.uint64(30))
-    return out, strings
+    return out, strings, grams
 
 
-def _split_hot(own: np.ndarray, strings: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Contexts of hot anchors become one context for each of their strings."""
+def _split_hot(
+    own: np.ndarray, strings: np.ndarray, grams: np.ndarray, hot: np.ndarray, length: int,
+    gram: int,
+) -> np.ndarray:
+    """Contexts of hot anchors become one context for each of their strings, met
+    under its own hash and told apart by the hashes of the grams that cover it."""
     if not len(hot):
         return own
     is_hot = np.isin(own["anchor"], hot)
@@ -143,7 +157,11 @@ def _split_hot(own: np.ndarray, strings: np.ndarray, hot: np.ndarray) -> np.ndar
     single["offset"] -= inner.astype(np.int16)
     single["strings"] = 1
     value = strings[single["start"]]
-    single["content"] = value
+    covering = np.zeros(len(single), np.uint64)
+    for at in {*range(0, length - gram, gram), length - gram}:
+        covering = (covering + grams[single["start"] + at]) * _FACTORS[4]
+        covering ^= covering >> np.uint64(32)
+    single["content"] = covering
     single["anchor"] = (value ^ np.uint64(0xA5A5A5A5)) * _FACTORS[3]
     return np.concatenate((own[~is_hot], single))
 
@@ -171,22 +189,52 @@ def _span_rows(uid: np.ndarray, start: np.ndarray, strings: np.ndarray) -> list[
 
 # ---- tasks ----
 
-def _send(buckets: int, hot: np.ndarray, length: int, gram: int) -> Callable:
-    """(uid, id, text) rows to packed contexts by bucket (kind 1) and spans of
-    strings that their own batch has earlier (kind 0)."""
+def _by_bucket(rows: np.ndarray, buckets: int, per_route: int = 1) -> list[tuple]:
+    """Packed rows (1, bucket, -1, contexts) of contexts in any order; the cost
+    does not depend on the number of buckets."""
+    bucket = (rows["anchor"] >> np.uint64(20)) % np.uint64(buckets) // np.uint64(per_route)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(rows) else []
+    return [(1, int(bucket[a]), -1, rows[a:z].tobytes())
+            for a, z in zip(at, [*at[1:], len(rows)])]
+
+
+def _route(buckets: int) -> Callable:
+    """Contexts of a route to those of its buckets; spans pass through."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def flush() -> pd.DataFrame:
+            rows = _by_bucket(np.frombuffer(b"".join(held), ANCHOR), buckets)
+            held.clear()
+            return pd.DataFrame(rows, columns=["kind", "bucket", "uid", "data"])
+
+        for batch in batches:
+            yield batch[batch["kind"] == 0]
+            for data in batch.loc[batch["kind"] == 1, "data"]:
+                held.append(data)
+                size += len(data)
+                if size >= ROUTE_BYTES:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _send(buckets: int, hot: np.ndarray, length: int, gram: int, per_route: int = 1) -> Callable:
+    """(uid, id, text) rows to packed contexts by bucket or route (kind 1) and
+    spans of strings that their own batch has earlier (kind 0)."""
 
     def flush(parts: list[np.ndarray]) -> pd.DataFrame:
         rows, first = _in_order(np.concatenate(parts))
         late = rows[~first]
         out = [(0, uid % buckets, uid, data)
                for uid, data in _span_rows(late["uid"], late["start"], late["strings"])]
-        rows = rows[first]
-        bucket = (rows["anchor"] >> np.uint64(20)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        rows, bucket = rows[order], bucket[order]
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        out += [(1, b, -1, rows[cuts[b]:cuts[b + 1]].tobytes())
-                for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        out += _by_bucket(rows[first], buckets, per_route)
         return pd.DataFrame(out, columns=["kind", "bucket", "uid", "data"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,10 +243,10 @@ def _send(buckets: int, hot: np.ndarray, length: int, gram: int) -> Callable:
         for batch in batches:
             for uid, doc, text in zip(batch["uid"], batch["id"], batch["text"]):
                 data = np.frombuffer(text.encode("utf-8"), np.uint8)
-                own, strings = contexts_of(data, length, gram)
+                own, strings, grams = contexts_of(data, length, gram)
                 if not len(own):
                     continue
-                own = _split_hot(own, strings, hot)
+                own = _split_hot(own, strings, grams, hot, length, gram)
                 own["uid"], own["id"] = uid, doc
                 parts.append(own)
                 size += len(data)
@@ -387,7 +435,7 @@ def _hot_anchors(source: DataFrame, length: int, gram: int, hot_contexts: int) -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text in batch["text"]:
-                own, _ = contexts_of(np.frombuffer(text.encode("utf-8"), np.uint8), length, gram)
+                own, *_ = contexts_of(np.frombuffer(text.encode("utf-8"), np.uint8), length, gram)
                 yield pd.DataFrame({"anchor": own["anchor"].view(np.int64),
                                     "content": own["content"].view(np.int64)})
 
@@ -401,6 +449,7 @@ def _hot_anchors(source: DataFrame, length: int, gram: int, hot_contexts: int) -
 def remove_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
     gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot_contexts: int = HOT_CONTEXTS,
+    routes: int = ROUTES,
 ) -> DataFrame:
     """All rows with `kept` (the remaining bytes), n_bytes and the removed
     `spans` (start, end)."""
@@ -411,7 +460,7 @@ def remove_repeats(
     tasks = 2 * spark.sparkContext.defaultParallelism
     buckets = max(tasks, -(-total // bucket_bytes))
     # Texts meet their contexts and their spans later: both joins are on the uid.
-    files = max(tasks, -(-total // FILE_BYTES))
+    files = min(MOST_FILES, max(tasks, -(-total // FILE_BYTES)))
     staged = materialise_by(
         docs.withColumn(names["uid"], F.monotonically_increasing_id()), "dedup-texts",
         names["uid"], files)
@@ -419,7 +468,7 @@ def remove_repeats(
         F.col(names["uid"]).alias("uid"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    spans = _all_spans(source, buckets, files, length, gram, hot_contexts)
+    spans = _all_spans(source, buckets, files, length, gram, hot_contexts, routes)
     per_doc = spans.repartition(files, "uid").groupBy("uid").agg(
         F.collect_list("data").alias(names["all_spans"]))
     joined = staged.join(
@@ -456,10 +505,14 @@ def whole_characters(kept: Column) -> Column:
 
 def _all_spans(
     source: DataFrame, buckets: int, files: int, length: int, gram: int, hot_contexts: int,
+    routes: int,
 ) -> DataFrame:
     """(uid, data): packed spans of the strings that start earlier."""
     hot = _hot_anchors(source, length, gram, hot_contexts)
-    sent = source.mapInPandas(_send(buckets, hot, length, gram), SENT)
+    per_route = -(-buckets // routes)
+    sent = source.mapInPandas(_send(buckets, hot, length, gram, per_route), SENT)
+    if per_route > 1:
+        sent = sent.repartition(routes, "bucket").mapInPandas(_route(buckets), SENT)
     met = materialise(
         sent.groupBy("bucket").applyInPandas(_meet, "kind int, uid long, data binary"),
         "dedup-met")
