@@ -75,7 +75,8 @@ def repeat_lengths(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     heads = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[suffixes] = heads
-    levels = [(8, rank.copy())]
+    narrow = np.int32 if n < 1 << 31 else np.int64
+    levels = [(8, rank.astype(narrow))]
     # Slots of the suffix array whose suffix equals a neighbour so far.
     tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
     step = 8
@@ -92,7 +93,7 @@ def repeat_lengths(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         new = np.concatenate(([True], both[1:] != both[:-1]))
         rank[at] = tied[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
         step *= 2
-        levels.append((step, rank.copy()))
+        levels.append((step, rank.astype(narrow)))
         tied = tied[~(new & np.append(new[1:], True))]
     # Common prefixes of neighbours that share their first 8 bytes.
     base = levels[0][1]
