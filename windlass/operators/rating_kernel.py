@@ -25,6 +25,12 @@ class FoldOptions:
     # 'before' predicts from the ratings before the update, 'after' from those
     # after it, 'none' leaves the column NULL.
     predict: str = "before"
+    # Weights are the race's mean rating over the population's mean before it
+    # (column `mean`) in place of the column `weight`.
+    population: bool = False
+    # Spread added for each week but the first since the last race, as a part of
+    # the initial one, which it cannot exceed; needs the columns day and last_day.
+    weekly: float = 0.0
 
 
 def waves(race: np.ndarray, player: np.ndarray) -> np.ndarray:
@@ -119,11 +125,20 @@ OUTPUT = ["pool", "seq", "race", "team", "line", "rank", "key",
           "mu0", "sigma0", "mu1", "sigma1", "predicted"]
 
 
+def widened(sigma: np.ndarray, day: np.ndarray, last_day: np.ndarray, share: float,
+            initial: float) -> np.ndarray:
+    """Spread before a race: grown by the weeks since the last one, NaN for none."""
+    weeks = np.maximum(np.floor((day - last_day) / 7) - 1, 0)
+    grown = np.minimum(initial, sigma + np.where(np.isnan(weeks), 0, weeks) * share * initial)
+    return np.where(sigma < initial, grown, sigma)
+
+
 def fold_group(rows: pd.DataFrame, options: FoldOptions) -> pd.DataFrame:
     """Rate all races of one group.
 
     rows: seq, race, line, team, rank, key, weight, mu, sigma; mu and sigma
     are the state before the group. Adds mu0, sigma0, mu1, sigma1, predicted.
+    With `weekly` also day and last_day, and adds day1.
     """
     p = options.params
     rows = rows.sort_values(["seq", "race", "rank", "team", "line"], kind="stable")
@@ -131,8 +146,9 @@ def fold_group(rows: pd.DataFrame, options: FoldOptions) -> pd.DataFrame:
     # A race needs two teams.
     many = np.bincount(race[_starts(race, rows["team"].to_numpy())]) > 1
     rows, race = rows[many[race]], pd.factorize(race[many[race]])[0]
+    names = [*OUTPUT, "day1"] if options.weekly else OUTPUT
     if rows.empty:
-        return pd.DataFrame(columns=OUTPUT)
+        return pd.DataFrame(columns=names)
     player, keys = pd.factorize(rows["key"])
     wave = waves(race, player)
     teams_per_race = np.bincount(race[_starts(race, rows["team"].to_numpy())])
@@ -149,6 +165,10 @@ def fold_group(rows: pd.DataFrame, options: FoldOptions) -> pd.DataFrame:
     state_mu, state_sigma = np.empty(len(keys)), np.empty(len(keys))
     state_mu[player] = rows["mu"].to_numpy(dtype=float)
     state_sigma[player] = rows["sigma"].to_numpy(dtype=float)
+    if options.weekly:
+        day, state_day = rows["day"].to_numpy(dtype=float), np.empty(len(keys))
+        state_day[player] = rows["last_day"].to_numpy(dtype=float)
+    means = rows["mean"].to_numpy(dtype=float) if options.population else None
 
     tstart = _starts(race, team)
     trace, trank, twave, tclass = race[tstart], rank[tstart], wave[tstart], size_class[tstart]
@@ -170,6 +190,9 @@ def fold_group(rows: pd.DataFrame, options: FoldOptions) -> pd.DataFrame:
         r1 = tstart[t1] if t1 < len(tstart) else n
         who = player[r0:r1]
         m, s = state_mu[who], state_sigma[who]
+        if options.weekly:
+            s = widened(s, day[r0:r1], state_day[who], options.weekly, p.sigma)
+            state_day[who] = day[r0:r1]
         mu0[r0:r1], sigma0[r0:r1] = m, s
         var = s * s + p.tau * p.tau
         offsets = tstart[t0:t1] - r0
@@ -206,6 +229,9 @@ def fold_group(rows: pd.DataFrame, options: FoldOptions) -> pd.DataFrame:
         omega, delta = np.repeat(omega, size), np.repeat(delta, size)
         share = var / np.repeat(team_var, size)
         w = weight[r0:r1]
+        if options.population:
+            of = np.repeat(row, size)
+            w = (np.bincount(of, m) / np.bincount(of))[of] / means[r0:r1]
         gain = np.where(omega >= 0, w, 1.0 / w)
         new_mu = m + share * omega * gain
         new_sigma = np.sqrt(var) * np.sqrt(np.maximum(1.0 - share * delta * gain, p.kappa))
@@ -222,6 +248,8 @@ def fold_group(rows: pd.DataFrame, options: FoldOptions) -> pd.DataFrame:
     out = rows[OUTPUT[:7]].copy()
     out["mu0"], out["sigma0"], out["mu1"], out["sigma1"] = mu0, sigma0, mu1, sigma1
     out["predicted"] = pd.Series(predicted, dtype="Int64").where(predicted > 0)
+    if options.weekly:
+        out["day1"] = day
     return out
 
 
