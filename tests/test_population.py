@@ -47,7 +47,7 @@ def one_by_one(rows, people, weekly=0.1):
     return out
 
 
-@pytest.mark.parametrize("races, how", [(70, {}), (8, {"max_group_rows": 12})])
+@pytest.mark.parametrize("races, how", [(70, {}), (24, {"stretch": 10, "max_rounds": 4}), (8, {"max_group_rows": 12})])
 def test_population_fold_equals_race_after_race(spark, races, how):
     rows = log(races)
     df = spark.createDataFrame(

@@ -7,7 +7,10 @@ iteration: with the means before all races given, the races are folded in
 parallel as usual; what they change, summed along the order in two levels, gives
 new means. A mean moves little by one race and a race little by the mean, so
 each round shrinks the error by orders; rounds go on until no mean changes by
-more than `tolerance`. The result is the one of rating race after race.
+more than `tolerance`. The order is taken in stretches, each from the state and
+the mean after the last one; a stretch that does not settle in `max_rounds` is
+halved, and one race needs no iteration. The result is the one of rating race
+after race.
 
 Each sailor's own spread grows inside the fold with the weeks since the last
 race (`FoldOptions.weekly`).
@@ -15,6 +18,7 @@ race (`FoldOptions.weekly`).
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 from functools import partial
 
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from windlass.operators.groups import attach
 from windlass.operators.rating_fold import (
-    RACE, ROW, FoldSpec, _rate_large_race, fold_ratings, plackett_luce,
+    RACE, ROW, FoldSpec, _rate_large_race, final_state, fold_ratings, plackett_luce,
 )
 from windlass.operators.rating_kernel import FoldOptions, fold_group
 from windlass.session import cut_lineage
@@ -73,31 +77,61 @@ def _large_race(rows: DataFrame, chunk_rows: int, options: FoldOptions) -> DataF
 
 def fold_with_population(
     rows: DataFrame, day: Column, people: DataFrame, options: FoldOptions | None = None,
-    weekly: float = 0.1, tolerance: float = 1e-9, max_rounds: int = 50, **how: int,
+    weekly: float = 0.1, tolerance: float = 1e-9, max_rounds: int = 12,
+    stretch: int = 100_000, **how: int,
 ) -> DataFrame:
     """rows: of `rateable`, with `step`, the dense number of each race along the
     order of the whole population. people: pool, key of everybody in it."""
-    base = options or FoldOptions()
-    options = replace(base, population=True, weekly=weekly)
+    options = replace(options or FoldOptions(), population=True, weekly=weekly)
     spec = population_spec(options)
-    first = options.params.mu
     count = people.distinct().count()
     if not count:
         raise ValueError("a population without people has no mean")
     own = cut_lineage(rows.withColumn("day", day.cast("double")))
-    steps = cut_lineage(own.groupBy("step", *RACE).agg(F.count("*").alias("n")))
-    means = steps.select("step", F.lit(first).cast("double").alias("mean"))
+    total = (own.agg(F.max("step")).first()[0] or 0) + 1
+    low, size, mean, state, parts = 0, stretch, float(options.params.mu), None, []
+    while low < total:
+        block = own.filter(F.col("step").between(low, low + size - 1))
+        found = _settled(block, mean, count, spec, state, tolerance, max_rounds, how)
+        if found is None:
+            size = max(1, size // 2)
+            continue
+        rated, gain = found
+        parts.append(rated)
+        state = cut_lineage(final_state(rated, state, spec))
+        mean += gain / count
+        low, size = low + size, min(2 * size, stretch)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _settled(
+    block: DataFrame, mean: float, count: int, spec: FoldSpec, state: DataFrame | None,
+    tolerance: float, max_rounds: int, how: dict[str, int],
+) -> tuple[DataFrame, float] | None:
+    """(rated rows, sum of all changes) of a stretch, None if its means do not settle."""
+    steps = cut_lineage(block.groupBy("step", *RACE).agg(F.count("*").alias("n")))
+    means = steps.select("step", F.lit(mean).alias("mean")).distinct()
     columns = [*ROW, "weight", "mean", "day"]
     for _ in range(max_rounds):
-        rated = cut_lineage(fold_ratings(own.join(means, "step").select(*columns), spec, **how))
+        rated = cut_lineage(
+            fold_ratings(block.join(means, "step").select(*columns), spec, state, **how))
         gains = steps.join(
             rated.groupBy(*RACE).agg(F.sum(F.col("mu1") - F.col("mu0")).alias("gain")), RACE, "left")
         summed = running_sum(
-            gains.groupBy("step").agg(F.sum("gain").alias("gain")).na.fill(0.0), "step", "gain", "sum")
-        new = cut_lineage(summed.select("step", (F.lit(first) + F.col("sum") / count).alias("mean")))
-        moved = new.join(means.withColumnRenamed("mean", "old"), "step").agg(
-            F.max(F.abs(F.col("mean") - F.col("old")))).first()[0]
-        means = new
-        if moved is None or moved <= tolerance:
-            return rated
-    raise RuntimeError("the population's means did not settle")
+            gains.groupBy("step").agg(F.sum("gain").alias("gain")).na.fill(0.0, ["gain"]),
+            "step", "gain", "sum")
+        new = cut_lineage(summed.select(
+            "step", "gain", (F.lit(mean) + F.col("sum") / count).alias("mean")))
+        moved, gain = new.join(means.withColumnRenamed("mean", "old"), "step").agg(
+            F.max(F.abs(F.col("mean") - F.col("old"))), F.sum("gain")).first()
+        if moved is None:
+            return rated, 0.0
+        if math.isnan(moved) or math.isinf(moved):
+            return None
+        if moved <= tolerance:
+            return rated, gain
+        means = new.select("step", "mean")
+    return None

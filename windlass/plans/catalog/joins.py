@@ -9,10 +9,12 @@ from windlass.operators import compare, dedup
 from windlass.operators.exposure import exposure, merge_regions
 from windlass.operators.graph import connected_components, page_rank
 from windlass.operators.groups import attach
+from windlass.operators.histogram import normal_histogram
 from windlass.plans import domain
-from windlass.plans.domain import ENTRIES_SQL, MATCHES_SQL, SAILORS_SQL, table
+from windlass.plans.domain import ALL_SQL, ENTRIES_SQL, MATCHES_SQL, SAILORS_SQL, table
 from windlass.plans.registry import query
 from windlass.plans.unify import merge_identities, number_boats
+from windlass.session import cut_lineage
 
 SAILORS_WITH = "WITH " + SAILORS_SQL.strip()
 
@@ -504,6 +506,28 @@ def rating_histogram(spark, sf, width=30_000):
     ).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
+@query(
+    "rating_histogram_fit", "E21 I12 I15",
+    ALL_SQL + """, v AS (SELECT pool, mu - 3 * sigma AS x FROM state),
+    m AS (SELECT pool, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS sd, min(x) AS low, max(x) AS high FROM v GROUP BY pool),
+    b AS (SELECT pool, n, mean, sd, low, (high - low) / 30 AS width, unnest(range(30)) AS bin FROM m)
+    SELECT b.pool, CAST(b.bin AS INTEGER) AS bin, round(b.low + b.bin * width, 6) AS start, coalesce(c.n, 0) AS n,
+      round(b.n * width * exp(-0.5 * ((b.low + (b.bin + 0.5) * width - mean) / nullif(sd, 0)) ** 2)
+        / (nullif(sd, 0) * sqrt(2 * pi())), 5) AS expected
+    FROM b LEFT JOIN (SELECT v.pool, least(CAST(floor((x - low) / nullif(high - low, 0) * 30) AS INTEGER), 29) AS bin, count(*) AS n
+      FROM v JOIN m USING (pool) GROUP BY 1, 2) c ON c.pool = b.pool AND coalesce(c.bin, 0) = b.bin""",
+)
+def rating_histogram_fit(spark, sf):
+    """Ratings of each pool in 30 equal bins, and the counts a normal
+    distribution of the same mean and spread would give."""
+    fleet = cut_lineage(domain.entries(spark, sf))
+    members = cut_lineage(domain.match_members(spark, sf))
+    state = domain.static_state(spark, sf, fleet, members)
+    rated = state.select("pool", (F.col("mu") - 3 * F.col("sigma")).alias("x"))
+    return normal_histogram(rated, ["pool"], "x", 30).select(
+        "pool", "bin", F.round("start", 6).alias("start"), "n", F.round("expected", 5).alias("expected"))
+
+
 @query(
     "team_mean_over_members", "E23 E25 I16",
     SAILORS_WITH + """, x AS (SELECT unnest([team, region]) AS grp, s_acctbal FROM sailors)
