@@ -280,12 +280,17 @@ def test_assembly_follows_identifiers(session):
         row("r1", "response"), row("q1", "request", "r1"), row("m1", "metadata", "q1"),
         row("r2", "response", "q2"), row("q2", "request"), row("m2", "metadata", "r2"),
         row("m3", "metadata", "gone"), row("q4", "request"),
+        # Chains, also against the direction of their links.
+        row("m4", "metadata", "m1"), row("m5", "metadata", "m4"), row("m6", "metadata", "m5"),
+        row("q5", "request"), row("m7", "metadata", "q5", "r2"),
+        row("m8", "metadata", "lost"), row("m9", "metadata", "m8"),
     ], warc.RECORD_SCHEMA)
     got = {r["capture_id"]: r for r in warc.assemble(records).collect()}
     ids = {k: ([x["record_id"] for x in r["requests"] or []],
                [x["record_id"] for x in r["metadata"] or []]) for k, r in got.items()}
-    assert ids == {"r1": (["q1"], ["m1"]), "r2": (["q2"], ["m2"]), "gone": ([], ["m3"]),
-                   "q4": (["q4"], [])}
+    assert ids == {
+        "r1": (["q1"], ["m1", "m4", "m5", "m6"]), "r2": (["q2", "q5"], ["m2", "m7"]),
+        "gone": ([], ["m3"]), "q4": (["q4"], []), "lost": ([], ["m8", "m9"])}
     assert got["q4"]["response"] is None and got["r1"]["response"]["payload"] == b"x"
 
 

@@ -7,15 +7,15 @@ writer: a record is one value whose last byte is the writer's line end.
 
 `read_archives` streams the records out of each file; `assemble` joins request,
 response and metadata records through their concurrent-to identifiers, in
-either direction and over one record in between, and emits one nested row per
-capture.
+either direction and over any number of records in between, and emits one nested
+row per capture.
 
 Defined cases: a null payload is an empty one; equal payloads below
 `min_revisit` bytes are all responses; of equal payloads, that with the
 smallest (id, input position) is the response, a null id last; repeated rows
 are separate captures; control characters and blanks in a url are
-percent-escaped; a request or metadata record without a response gives a
-capture whose response is null; an empty table gives no captures; columns
+percent-escaped; request and metadata records that no response
+is linked to give captures whose response is null, one for each linked group; an empty table gives no captures; columns
 other than those named do not enter the archive.
 """
 
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from windlass.llm import sql
 from windlass.llm.common import materialise, query, table
+from windlass.operators.graph import connected_components
 from windlass.session import scratch_path
 
 MIN_REVISIT = 100
@@ -233,14 +234,7 @@ def assemble(
         .groupBy("record_id").agg(F.min("capture").alias("capture"))
     )
     direct = materialise(direct, "warc-direct")
-    known = direct.filter("capture is not null").select(
-        F.col("record_id").alias("key"), F.col("capture").alias("through"))
-    second = rest.join(direct.filter("capture is null").select("record_id"), "record_id")
-    second = (
-        second.join(known, second.target == known.key, "left")
-        .groupBy("record_id").agg(F.coalesce(F.min("through"), F.min("target")).alias("capture"))
-    )
-    capture = direct.filter("capture is not null").unionByName(second)
+    capture = _followed(direct, rest)
     side = records.filter(~primary).join(capture, "record_id")
     entry = F.struct("record_id", "uri", "date", "fields")
     sides = side.groupBy("capture").agg(
@@ -259,6 +253,36 @@ def assemble(
     )
 
 
+def _followed(direct: DataFrame, rest: DataFrame) -> DataFrame:
+    """(record_id, capture) of all records, through any number of records in
+    between, either way round. Records that no response is linked to are captures
+    of their own, one for each group of linked ones, named by its least id."""
+    found = direct.filter("capture is not null")
+    left = direct.filter("capture is null").select("record_id")
+    if left.isEmpty():
+        return found
+    links = rest.filter("record_id <> target")
+    links = materialise(links.unionByName(links.select(
+        F.col("target").alias("record_id"), F.col("record_id").alias("target"))), "warc-links")
+    fresh = found
+    while not left.isEmpty():
+        via = fresh.select(F.col("record_id").alias("target"), "capture")
+        fresh = materialise(
+            left.join(links, "record_id").join(via, "target").groupBy("record_id")
+            .agg(F.min("capture").alias("capture")), "warc-step")
+        if fresh.isEmpty():
+            break
+        found = found.unionByName(fresh)
+        left = materialise(left.join(fresh, "record_id", "left_anti"), "warc-left")
+    alone = links.join(left, "record_id").select(
+        F.col("record_id").alias("a"), F.col("target").alias("b"))
+    groups = connected_components(alone).select(
+        F.col("node").alias("record_id"), F.col("component").alias("capture"))
+    own = left.join(groups, "record_id", "left").select(
+        "record_id", F.coalesce("capture", "record_id").alias("capture"))
+    return found.unionByName(own)
+
+
 def _by_id(a: Column, b: Column) -> Column:
     return F.when(a["record_id"] < b["record_id"], -1).when(
         a["record_id"] > b["record_id"], 1).otherwise(0)
