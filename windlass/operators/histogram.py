@@ -22,9 +22,11 @@ def normal_histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int)
     fit = known.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"),
         F.min(value).alias("_low"), F.max(value).alias("_high"))
-    place = F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * bins)
+    span = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    place = F.floor((F.col(value) - F.col("_low")) / span * bins)
     counted = known.join(fit, keys).groupBy(
-        *keys, F.coalesce(F.least(place.cast("int"), F.lit(bins - 1)), F.lit(0)).alias("bin")
+        *keys, F.when(F.col("_high") == F.col("_low"), 0)
+        .otherwise(F.least(place.cast("int"), F.lit(bins - 1))).alias("bin")
     ).agg(F.count("*").alias("n"))
     width = (F.col("_high") - F.col("_low")) / bins
     grid = fit.withColumn("width", width).withColumn(

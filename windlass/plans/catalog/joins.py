@@ -514,8 +514,8 @@ def rating_histogram(spark, sf, width=30_000):
     SELECT b.pool, CAST(b.bin AS INTEGER) AS bin, round(b.low + b.bin * width, 6) AS start, coalesce(c.n, 0) AS n,
       round(b.n * width * exp(-0.5 * ((b.low + (b.bin + 0.5) * width - mean) / nullif(sd, 0)) ** 2)
         / (nullif(sd, 0) * sqrt(2 * pi())), 5) AS expected
-    FROM b LEFT JOIN (SELECT v.pool, least(CAST(floor((x - low) / nullif(high - low, 0) * 30) AS INTEGER), 29) AS bin, count(*) AS n
-      FROM v JOIN m USING (pool) GROUP BY 1, 2) c ON c.pool = b.pool AND coalesce(c.bin, 0) = b.bin""",
+    FROM b LEFT JOIN (SELECT v.pool, CASE WHEN high = low THEN 0 ELSE least(CAST(floor((x - low) / (high - low) * 30) AS INTEGER), 29) END AS bin, count(*) AS n
+      FROM v JOIN m USING (pool) GROUP BY 1, 2) c ON c.pool = b.pool AND c.bin = b.bin""",
 )
 def rating_histogram_fit(spark, sf):
     """Ratings of each pool in 30 equal bins, and the counts a normal

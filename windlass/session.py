@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from urllib.parse import urlparse
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
@@ -40,14 +41,18 @@ def apply_settings(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the cluster. Where it is unset, as in tests, a folder
-    of this program in the session's warehouse, which all executors share."""
+    of this program in the session's warehouse. On a cluster that is refused when
+    the warehouse is a folder of the driver's machine, which executors cannot see."""
     context = spark.sparkContext
     current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not context.getCheckpointDir():
             context.setCheckpointDir(current)
         return context.getCheckpointDir()
-    own = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not context.master.startswith("local") and urlparse(warehouse).scheme in ("", "file"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = f"{warehouse}/scratch-{uuid.uuid4().hex}"
     _delete_at_exit(spark, own)
     context.setCheckpointDir(own)
     return context.getCheckpointDir()
