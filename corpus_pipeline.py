@@ -1,6 +1,11 @@
 """Corpus pipeline: quality rules, near duplicates, repeated strings, benchmark
 passages, tokens. Each stage's result is written and read again as the next
-one's documents."""
+one's documents.
+
+Defined cases: null and empty texts fail the quality rules and go; equal rows
+are near copies, of which one stays; rows without an id are documents like
+others, last in order; texts of any length are read whole; columns beyond those
+of `documents` stay up to the last stage; an empty table gives no rows."""
 
 from __future__ import annotations
 

@@ -6,8 +6,8 @@ merged with a heap over linked bytes, lowest rank first, leftmost on a tie,
 in O(n log n) for a match of n bytes.
 
 Defined cases: a null text encodes like an empty one, to no ids; ids of null
-decode to no bytes; a match of any length is one merge; repeated rows are
-encoded alike; other columns pass through, clashing names get `_` in front.
+decode to no bytes; a match of any length is one merge, in texts of any length;
+repeated rows are encoded alike; an empty table gives no rows; other columns pass through, clashing names get `_` in front.
 """
 
 from __future__ import annotations

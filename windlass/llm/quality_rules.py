@@ -12,7 +12,7 @@ than `max_repeat` bytes.
 
 Defined cases: a null text counts as empty and fails (too few words); a text
 of any length is sorted whole; overlapping repeats count; repeated rows are
-judged alike; other columns pass through, clashing names get `_` in front.
+judged alike; an empty table gives no rows; other columns pass through, clashing names get `_` in front.
 """
 
 from __future__ import annotations

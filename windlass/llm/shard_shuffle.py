@@ -12,7 +12,8 @@ bucket range: each step splits a node's per-block counts in two with one
 hypergeometric draw per block, by inversion from the mode outwards.
 
 Defined cases: null texts count as empty and have CRC 0; repeated and equal
-rows are separate rows; an empty table gives no rows; other columns stay,
+rows are separate rows; a text of any length is one row and is not looked into;
+an empty table gives no rows; other columns stay,
 and clashing names get `_` in front.
 """
 

@@ -24,7 +24,7 @@ that cover them). Bytes are looked at where suffix arrays decide.
 Documents are ordered by id (null last), then by input position.
 
 Defined cases: a null text is empty; texts shorter than `length` keep all their
-bytes; repeated rows are documents of their own, later ones lose what they
+bytes, those of any length are cut whole; repeated rows are documents of their own, later ones lose what they
 share; an empty table gives no rows; other columns stay, clashing names get
 `_` in front.
 """

@@ -11,7 +11,8 @@ Words are runs between white space (str.split). A word with a part that no
 piece covers is one unknown token.
 
 Defined cases: null and empty texts have no words; a word of any length is
-matched whole; repeated rows are counted alike; other columns pass through,
+matched whole, in texts of any length; repeated rows are counted alike; an empty
+table gives no rows; other columns pass through,
 clashing names get `_` in front.
 """
 

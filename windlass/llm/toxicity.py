@@ -23,8 +23,8 @@ and nothing else.
 Defined cases: null and empty texts have no evidence and get the score of that;
 texts of any length are read whole; repeated label rows count once, the larger
 label wins; null labels do not teach; without labels every score is the share
-0.5 of an unfitted model; repeated rows score alike; other columns pass
-through, clashing names get `_` in front.
+0.5 of an unfitted model; repeated rows score alike; an empty table gives no
+rows; other columns pass through, clashing names get `_` in front.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ regular expression.
 
 Defined cases: a null or schemeless url has an empty host and path, and a null
 url is allowed; case is folded for A-Z only; ties between host/path rules of
-equal length go to the first in the list; repeated rows each get a verdict;
+equal length go to the first in the list; urls of any length are judged whole;
+repeated rows each get a verdict; an empty table gives no rows;
 other columns pass through unchanged.
 """
 

@@ -13,7 +13,7 @@ row per capture.
 Defined cases: a null payload is an empty one; equal payloads below
 `min_revisit` bytes are all responses; of equal payloads, that with the
 smallest (id, input position) is the response, a null id last; repeated rows
-are separate captures; control characters and blanks in a url are
+are separate captures; a payload of any size below an archive's is written whole; control characters and blanks in a url are
 percent-escaped; request and metadata records that no response
 is linked to give captures whose response is null, one for each linked group; an empty table gives no captures; columns
 other than those named do not enter the archive.
