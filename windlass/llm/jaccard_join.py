@@ -7,9 +7,9 @@ share a prefix. A set starts with its full label in every tree and its prefixes
 are shortened one step at a time, always where the next node adds the fewest
 sets for the chance gained, until a text at the threshold shares one of them
 with the chance `RECALL`. A prefix so short that it reaches the chance in all
-trees alike (`prefix_depth`) is as far as any goes: a set alone there has no
-candidates in the tree, so only shared nodes are looked at further down. What
-is below one of a set's nodes is a candidate for it.
+trees alike (`prefix_depth`) is as far as any goes; where its node has
+`SMALL_NODE` sets at most it goes there at once. What is below one of a set's
+nodes is a candidate for it.
 
 Candidates are then compared exactly without a row for each pair: a set's home
 is the least set in two steps over shared nodes, homes are cut into blocks of bounded
@@ -21,7 +21,7 @@ connected components of the links.
 
 Defined cases: a null text, or one without words, has no shingle, no link and
 a class of its own; a text of one to four words is one shingle of all its
-words; repeated rows are copies and linked; a class takes the smallest id of
+words, and texts of any length are compared whole; repeated rows are copies and linked; a class takes the smallest id of
 its rows, null only if all are null, and its first row is the one with that
 id, on a tie the earlier input row; an empty table gives no rows; other columns
 stay, clashing names get `_` in front.
@@ -46,6 +46,9 @@ THRESHOLD = 0.8
 TREES = 28
 LABEL = 8
 RECALL = 0.9999
+# A node of the shortest prefix with so few sets is taken as it is: to look
+# further down would cost more than it saves.
+SMALL_NODE = 64
 # Shingles in a block: bounds what one verification task holds and multiplies.
 BLOCK_SHINGLES = 20_000
 # Candidate sets and block pairs up to which their ids travel to every task;
@@ -70,8 +73,8 @@ def shorten(
     recall: float = RECALL,
 ) -> np.ndarray:
     """Prefix lengths of one set. counts[k, d] is the number of sets that share
-    its prefix of length depth + d in a tree; in the trees not listed it is
-    alone at `depth`, so that length costs nothing there."""
+    its prefix of length depth + d in a tree; in the trees not listed few or
+    none share the one of length `depth`, which costs next to nothing there."""
     miss = np.log1p(-threshold ** np.arange(depth, depth + counts.shape[1]))
     left = (trees - len(counts)) * miss[0] + len(counts) * miss[-1] - np.log1p(-recall)
     last = counts.shape[1] - 1
@@ -94,7 +97,7 @@ def shorten(
 
 class Sketcher:
     """Fingerprint of a shingle set, its size, its shortest prefix in every tree
-    and what follows it in the label, two bytes a hash."""
+    and what follows it in the label, a byte a hash."""
 
     def __init__(self, trees: int, depth: int, label: int) -> None:
         rng = np.random.default_rng(_SEED)
@@ -121,7 +124,7 @@ class Sketcher:
         labels = self.minima(shingles).reshape(self.trees, self.label)
         keys = [xxhash.xxh3_64_intdigest(labels[k, :self.depth].tobytes(), k) - (1 << 63)
                 for k in range(self.trees)]
-        rest = labels[:, self.depth:].astype(np.uint16).tobytes()
+        rest = labels[:, self.depth:].astype(np.uint8).tobytes()
         return xxhash.xxh3_128_digest(shingles.tobytes()), len(shingles), keys, rest
 
 
@@ -256,38 +259,49 @@ def link_texts(
 def _forest(
     copies: DataFrame, depth: int, trees: int, threshold: float, recall: float,
 ) -> DataFrame:
-    """(rep, size, key) of the sets below every node that one of them goes up to."""
-    rest = 2 * (LABEL - depth)
-    prefixes = copies.select(
-        "rep", "size", "rest", F.posexplode("keys").alias("tree", "key"))
+    """(rep, key) of the sets below every node that one of them goes up to."""
+    prefixes = copies.select("rep", F.posexplode("keys").alias("tree", "key")).withColumn(
+        "tree", F.col("tree").cast("byte"))
     shared = materialise(
         prefixes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "join-prefixes")
-    own = F.substring("rest", F.col("tree") * rest + 1, F.lit(rest))
-    # The node of each length from the shortest prefix to the full label.
-    nodes = F.array(F.col("key"), *[
-        F.xxhash64("key", F.lit(d), F.substring(F.col("own"), 1, 2 * d))
-        for d in range(1, LABEL - depth + 1)])
+    members = materialise(prefixes.join(shared, "key"), "join-prefix-members")
+    few = members.filter(F.col("n") <= SMALL_NODE).select("rep", "key")
+    width = LABEL - depth
+    own = F.substring("rest", F.col("tree") * width + 1, F.lit(width))
+    # The node of each length from the shortest prefix (0) to the full label.
+    levels = range(width + 1)
+    nodes = [F.col("key").alias("node0"), *[
+        F.xxhash64("key", F.substring(own, F.lit(1), F.lit(d))).alias(f"node{d}")
+        for d in levels[1:]]]
     paths = materialise(
-        prefixes.join(shared.select("key"), "key").withColumn("own", own)
-        .select("rep", "size", "tree", F.posexplode(nodes).alias("d", "node")), "join-paths")
-    counted = paths.join(
-        paths.groupBy("node").agg(F.count("*").alias("n")), "node")
-    per_set = counted.groupBy("rep").agg(
-        F.sort_array(F.collect_list(F.struct("tree", "d", "n", "node"))).alias("at"))
-    steps = LABEL - depth + 1
+        members.filter(F.col("n") > SMALL_NODE).join(copies.select("rep", "rest"), "rep")
+        .select("rep", "tree", F.col("n").alias("n0"), *nodes), "join-paths")
+    counted = paths
+    for d in levels[1:]:
+        sizes = paths.groupBy(f"node{d}").agg(F.count("*").alias(f"n{d}"))
+        counted = counted.join(sizes, f"node{d}")
+    entry = F.struct("tree", F.array(*[f"n{d}" for d in levels]).alias("n"),
+                     F.array(*[f"node{d}" for d in levels]).alias("nodes"))
+    per_set = counted.groupBy("rep").agg(F.collect_list(entry).alias("at"))
 
     @F.pandas_udf("array<bigint>")
     def chosen(counts: pd.Series) -> pd.Series:
         return pd.Series([
-            shorten(np.asarray(c, np.int64).reshape(-1, steps), depth, trees, threshold, recall)
-            - depth for c in counts])
+            shorten(np.array([list(x) for x in c], np.int64).reshape(-1, width + 1),
+                    depth, trees, threshold, recall) - depth for c in counts])
 
     # One node per tree: the one its prefix was shortened to.
-    at = F.transform("lengths", lambda d, k: F.get("at", (k * steps + d).cast("int"))["node"])
-    active = (
-        per_set.withColumn("lengths", chosen("at.n"))
-        .select(F.explode(at).alias("node")).distinct())
-    return paths.join(active, "node").select("rep", "size", F.col("node").alias("key"))
+    up_to = F.arrays_zip("at.nodes", chosen("at.n").alias("d"))
+    active = materialise(
+        per_set.select(F.inline(up_to)).select(
+            "d", F.get("nodes", F.col("d").cast("int")).alias("node")).distinct(), "join-active")
+    out = few
+    for d in levels:
+        open_ = active.filter(F.col("d") == d).select("node")
+        below = paths.select("rep", F.col(f"node{d}").alias("node"))
+        out = out.unionByName(
+            below.join(open_, "node", "left_semi").select("rep", F.col("node").alias("key")))
+    return out
 
 
 def _verified(
@@ -304,8 +318,9 @@ def _verified(
     lower = members.select("key", "rep").join(nearest, "rep").groupBy("key").agg(
         F.min("home").alias("home"))
     lower = materialise(lower, "join-lower")
-    homes = materialise(members.select("key", "rep", "size").join(lower, "key").groupBy("rep").agg(
-        F.min("home").alias("home"), F.min("size").alias("size")), "join-homes")
+    homes = members.select("key", "rep").join(lower, "key").groupBy("rep").agg(
+        F.min("home").alias("home"))
+    homes = materialise(homes.join(copies.select("rep", "size"), "rep"), "join-homes")
     weights = materialise(homes.groupBy("home").agg(
         F.ceil(F.sum("size") / block_shingles).alias("parts")), "join-weights")
     blocks = materialise(homes.join(weights, "home").select("rep", F.xxhash64(
