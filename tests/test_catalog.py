@@ -15,7 +15,9 @@ NAMES = [
     "rating_state", "fleet_history", "match_history", "incremental_rating", "pair_rating",
     "elo_pairwise", "elo_field_average", "glicko2", "full_rating_run", "linked_sailors",
     "published_sailors", "regatta_documents", "search_index_documents", "season_calendar",
-    "wide_to_long", "rank_matrix", "loss_graph_page_rank",
+    "wide_to_long", "rank_matrix", "loss_graph_page_rank", "fleet_head_to_head_seasons",
+    "match_head_to_head_seasons", "identity_chains", "page_fetch", "document_store",
+    "document_tree_delete", "rating_histogram_fit",
 ]
 
 
