@@ -39,6 +39,8 @@ def test_a_long_row_needs_no_stack(spark):
     assert tuple(row.first()) == (len(page) - len("<table class='results'></table>"), len(page))
 
 
-def test_only_the_asked_page_is_stored(spark):
-    sf = "/root/testdata/sf0.001"
-    assert catalog_pages._fleet_pages(spark, sf, "scores").columns == ["regatta", "html"]
+def test_only_the_asked_page_is_stored(spark, monkeypatch):
+    pages = spark.createDataFrame([("r1", "<a>", "<b>")], "regatta string, scores string, sailors string")
+    monkeypatch.setattr(catalog_pages.rendered, "fleet_pages", lambda spark, sf: pages)
+    kept = catalog_pages._fleet_pages(spark, "", "scores")
+    assert [tuple(r) for r in spark.read.parquet(*kept.inputFiles()).collect()] == [("r1", "<a>")]
