@@ -123,6 +123,29 @@ def jaccard_truth(rows):
     return links, component
 
 
+def test_jaccard_prefixes_are_shuffled_once(session, monkeypatch):
+    plans = {}
+    write = jaccard_join.materialise
+
+    def watched(df, name, *rest):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, *rest)
+
+    monkeypatch.setattr(jaccard_join, "materialise", watched)
+    # Tables of any size are shuffled alike, none is small enough to be sent along.
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = [f"w{i}" for i in range(40)]
+        near = [" ".join(words[:i] + ["x"] + words[i + 1:]) for i in (0, 39)]
+        texts = [" ".join(words), *near, "a b c d e f g", "h i j k l m n", None]
+        df = session.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.link_texts(df).collect()}
+    finally:
+        session.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {0: (0, 2), 1: (0, 2), 2: (0, 2), 3: (3, 0), 4: (4, 0), 5: (5, 0)}
+    assert plans["join-prefix-members"].count("Exchange hashpartitioning") == 1
+
+
 def test_jaccard_join(session):
     rows = corpus(1, 90)
     links, component = jaccard_truth(rows)

@@ -34,7 +34,7 @@ import heapq
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windlass.llm import sql
@@ -260,11 +260,11 @@ def _forest(
     copies: DataFrame, depth: int, trees: int, threshold: float, recall: float,
 ) -> DataFrame:
     """(rep, key) of the sets below every node that one of them goes up to."""
+    # One shuffle by key, whatever the table's size: rows of a key are counted in place.
     prefixes = copies.select("rep", F.posexplode("keys").alias("tree", "key")).withColumn(
         "tree", F.col("tree").cast("byte"))
-    shared = materialise(
-        prefixes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "join-prefixes")
-    members = materialise(prefixes.join(shared, "key"), "join-prefix-members")
+    counted = prefixes.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    members = materialise(counted.filter("n > 1"), "join-prefix-members")
     few = members.filter(F.col("n") <= SMALL_NODE).select("rep", "key")
     width = LABEL - depth
     own = F.substring("rest", F.col("tree") * width + 1, F.lit(width))
