@@ -81,3 +81,39 @@ def test_a_wide_wave_is_spread_over_tasks(spark):
     plan = cut_by_width(
         [(0, r["wave"], r["sum(n)"], r["sum(n)"]) for r in sorted(widths)], 10**6, 400, 10**7)
     assert plan[0][3] >= 8
+
+
+def test_waves_are_those_of_race_after_race():
+    rng = np.random.default_rng(3)
+    for rows in (1, 2, 30, 400):
+        race = np.sort(rng.integers(0, rows // 3 + 1, rows))
+        player = rng.integers(-9, rows // 2 + 1, rows)
+        wave, linked = waves_and_groups(race, player)
+        last = {}
+        for r in np.unique(race):
+            own = np.flatnonzero(race == r)
+            due = max(last.get(p, 0) for p in player[own]) + 1
+            assert set(wave[own]) == {due} and len(set(linked[own])) == 1
+            last.update(dict.fromkeys(player[own], due))
+        assert all(len(set(linked[player == p])) == 1 for p in set(player))
+
+
+def test_a_wave_is_found_without_a_loop_over_its_races():
+    race = np.repeat(np.arange(3000), 2)
+    player = _Counted.of(np.arange(6000))
+    waves_and_groups(race, player)
+    assert _Counted.lists == 0
+
+
+class _Counted(np.ndarray):
+    """Counts how often an array is handed out as single Python values."""
+
+    lists = 0
+
+    @classmethod
+    def of(cls, values):
+        return values.view(cls)
+
+    def tolist(self):
+        _Counted.lists += 1
+        return super().tolist()
