@@ -50,3 +50,36 @@ def test_cut_lineage_leaves_a_table_read_by_column(spark):
     cut = cut_lineage(spark.range(1000).selectExpr("id", "repeat('x', 500) AS text"))
     assert all(f.endswith(".parquet") for f in cut.inputFiles()) and cut.inputFiles()
     assert cut.count() == 1000 and cut.filter("length(text) = 500").count() == 1000
+
+
+def test_the_log_is_stored_once_and_single_large_races_apart(spark, monkeypatch):
+    from windlass.operators import rating_fold
+
+    made, scratch = [], rating_fold.scratch_path
+
+    def recorded(session, name):
+        made.append(name)
+        return scratch(session, name)
+
+    monkeypatch.setattr(rating_fold, "scratch_path", recorded)
+    spec = plackett_luce(FoldOptions())
+    log = cut_lineage(_log(spark, races=2))
+    whole = {(r.race, r.key): r.mu1 for r in fold_ratings(log).collect()}
+    _fold_in_steps(log, spec, None, 30, 10**6, 10**6).collect()
+    assert "fold-log" not in made and "fold-alone" not in made
+    alone = _fold_in_steps(log, spec, None, 3, 10**6, 10**6).collect()
+    assert made.count("fold-alone") == 1
+    assert {(r.race, r.key): round(r.mu1, 9) for r in alone} == {
+        k: round(v, 9) for k, v in whole.items()}
+
+
+def test_no_task_gets_more_lines_as_the_table_grows(spark, monkeypatch):
+    from windlass.plans import domain
+
+    monkeypatch.setattr(domain, "TASK_LINES", 50)
+    for rows in (100, 1000):
+        lines = spark.range(rows).selectExpr("id AS l_orderkey", "id % 7 AS l_suppkey")
+        dealt = domain._by_order(lines)
+        assert dealt.count() == rows
+        parts = dealt.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+        assert max(r["count"] for r in parts) <= 100

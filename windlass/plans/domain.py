@@ -19,6 +19,8 @@ REGION_ALIAS = {"ASIA": "AMERICA"}
 TARGET_SEASONS = ["f00", "s01"]
 TARGET_MATCH_SEASONS = ["s01"]
 GRAD_CUTOFF = 2022
+# Line items that one task joins, sorts and groups by race.
+TASK_LINES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,15 @@ def _hot_orders(spark: SparkSession, sf_dir: str) -> DataFrame | None:
     return hot_groups(lines, ["race_no"], HOT_GROUP_ROWS)
 
 
+def _by_order(lines: DataFrame) -> DataFrame:
+    """Lines dealt out by order. Beyond a task's worth for each core the number of
+    tasks follows the number of rows, so no task grows with the table."""
+    tasks = -(-lines.count() // TASK_LINES)
+    if tasks <= lines.sparkSession.sparkContext.defaultParallelism:
+        return lines.repartition("l_orderkey")
+    return lines.repartition(tasks, "l_orderkey")
+
+
 def _deduped_lines(spark: SparkSession, sf_dir: str, spread: bool) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax",
@@ -82,7 +93,7 @@ def _deduped_lines(spark: SparkSession, sf_dir: str, spread: bool) -> DataFrame:
     # One shuffle by order serves the join, the dedup and the race windows. When
     # some order is very large (`spread`) the dedup combines before its own
     # shuffle by (order, supplier) instead.
-    lines = lines if spread else lines.repartition("l_orderkey")
+    lines = lines if spread else _by_order(lines)
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).drop("o_orderkey")
     return keep_last(
         joined, ["l_orderkey", "l_suppkey"], [F.col("l_linenumber"), F.col("l_extendedprice")]
