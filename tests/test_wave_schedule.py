@@ -1,12 +1,14 @@
 """The wave schedule of the ordered rating: independence, order, cut points."""
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
 from windlass.operators.rating_fold import (
     _fold_in_steps, _stretches, assign_waves, cut_by_width, fold_ratings, plackett_luce,
+    shared_tasks,
 )
 from windlass.operators.rating_kernel import FoldOptions, waves_and_groups
 
@@ -117,3 +119,30 @@ class _Counted(np.ndarray):
     def tolist(self):
         _Counted.lists += 1
         return super().tolist()
+
+
+def test_small_linked_groups_share_tasks():
+    # (stretch, wave, rows, rows of the largest group) and what cut_by_width gives.
+    widths = [(0, 1, 9000, 10), (0, 2, 9000, 10), (1, 1, 900, 400), (2, 1, 9000, 9000)]
+    plan = [(0, 1, 0, 0), (0, 2, 0, 0), (1, 1, 1, 0), (2, 1, 2, 7)]
+    assert shared_tasks(widths, plan, 1000, 4) == {0: 72}
+    assert shared_tasks(widths[:2], plan[:2], 10**6, 4) == {0: 4}
+
+
+def test_many_groups_are_few_calls_of_the_rule(spark):
+    rows = [("sr", seq, f"r{seq}", 4 * (seq % 50) + i, i, float((seq + i) % 4), f"k{4 * (seq % 50) + i}", 1.0)
+            for seq in range(200) for i in range(4)]
+    log = spark.createDataFrame(rows, COLUMNS)
+    rule = plackett_luce(FoldOptions())
+    calls = spark.sparkContext.accumulator(0)
+    kernel = rule.kernel
+
+    def counted(pdf):
+        calls.add(1)
+        return kernel(pdf)
+
+    want = {(r["race"], r["key"]): r["mu1"] for r in fold_ratings(log).collect()}
+    got = _fold_in_steps(log, replace(rule, kernel=counted), None, 700, 10**6).collect()
+    assert {(r["race"], r["key"]): r["mu1"] for r in got} == pytest.approx(want, rel=1e-12)
+    # Fifty groups of races that share nobody, in as many calls as there are tasks.
+    assert 1 < calls.value < 50

@@ -16,12 +16,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windlass.operators.groups import hot_groups
+from windlass.session import cut_lineage
+
 FIELD_PART_ROWS = 100_000
 
 
 def _met(
     own: DataFrame, field: DataFrame, race_keys: list[str], part_rows: int
 ) -> DataFrame:
+    if hot_groups(field.select(*race_keys), race_keys, part_rows) is None:
+        return own.join(field, race_keys)
     parts = field.groupBy(*race_keys).agg(
         F.ceil(F.count("*") / part_rows).cast("int").alias("_parts")
     )
@@ -144,11 +149,20 @@ def _everyone(
     task sums its pairs before they are shuffled and returns those that met.
     """
     race_no = F.xxhash64(*race_keys)
-    # Bounded blocks of a regatta, bounded parts of a race.
-    blocks = rows.groupBy(regatta).agg(
-        F.ceil(F.count("*") / block_rows).alias("_blocks"))
-    fields = rows.groupBy(*race_keys).agg(F.ceil(F.count("*") / side_rows).alias("_parts"))
-    placed = rows.join(blocks, regatta).join(fields, race_keys).select(
+    # Bounded blocks of a regatta, bounded parts of a race. Few races have parts: these
+    # are stored, so that the rows need not be shuffled to learn of theirs.
+    blocks = cut_lineage(rows.groupBy(regatta).agg(
+        F.ceil(F.count("*") / block_rows).alias("_blocks")))
+    fields = hot_groups(rows, race_keys, side_rows)
+    named = rows.filter(" and ".join(f"{k} is not null" for k in race_keys))
+    if fields is None:
+        sized = named.withColumn("_parts", F.lit(1).cast("bigint"))
+    else:
+        fields = cut_lineage(fields.select(
+            *race_keys, F.ceil(F.col("_n") / side_rows).alias("_many")))
+        sized = named.join(fields, race_keys, "left").withColumn(
+            "_parts", F.coalesce("_many", F.lit(1).cast("bigint"))).drop("_many")
+    placed = sized.join(blocks, regatta).select(
         "pos", "season", "key", "value", "side_no", race_no.alias("race_no"),
         F.xxhash64(regatta, F.pmod(race_no, F.col("_blocks"))).alias("block"),
         F.pmod(F.xxhash64("key"), F.col("_parts")).alias("part"), "_parts")
