@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from windlass.functions import markup as m
 from windlass.plans.catalog import pages as catalog_pages
+from windlass.sources import match_pages
 
 ODD = [
     None, "", "<tr>", "<tr></tr>", "<TR a='1'>x</Tr><tr>y</tr>", "<tr><td>1 < 2</td></tr><tr>open",
@@ -44,3 +45,40 @@ def test_only_the_asked_page_is_stored(spark, monkeypatch):
     monkeypatch.setattr(catalog_pages.rendered, "fleet_pages", lambda spark, sf: pages)
     kept = catalog_pages._fleet_pages(spark, "", "scores")
     assert [tuple(r) for r in spark.read.parquet(*kept.inputFiles()).collect()] == [("r1", "<a>")]
+
+
+def test_rounds_ports_and_team_rows_are_what_lazy_patterns_take(spark):
+    assert "*?" not in match_pages._ROUND + match_pages._TEAM_ROW + m.before(match_pages._PORT)
+    odd = [
+        None, "", "<div class=port>a<div class='x'>b</div><div class='port big'>c < d<DIV CLASS=port>",
+        "<tr class='x roundrow'>1<tr><td>2</td><tr class=roundrow>3</table><tr class=roundrow>4",
+        "<tr class='row team-1'><<th>a</th>< tr <tr class=\"team-2 x\">b<tr class='other'>c",
+    ]
+    row, team, port = match_pages._ROUND_ROW, rf"tr\b[^>]*{match_pages._OF_TEAM}", match_pages._PORT
+    pairs = {
+        match_pages._ROUND: rf"(?is)<{row}.*?(?=<{row}|</table>)",
+        match_pages._TEAM_ROW: rf"(?is)<{team}.*?(?=<{team}|$)",
+        rf"(?is)<{port}{m.before(port)}": rf"(?is)<{port}.*?(?=<{port}|$)",
+    }
+    df, html = spark.createDataFrame([(h,) for h in odd], "html string"), F.col("html")
+    for quick, lazy in pairs.items():
+        got = df.select(m.all_matches(html, quick), m.all_matches(html, lazy)).collect()
+        assert all(a == b for a, b in got) and any(a for a, _ in got)
+
+
+def test_references_are_looked_for_where_there_is_one(spark):
+    held = [None, "", "a b", "R&amp;D", "&#65;&nbsp;&amp;lt;", "1 &lt; 2 & 3", "&#0;"]
+    got = spark.createDataFrame([(h,) for h in held], "t string").select(m.unescape(F.col("t"))).collect()
+    assert [r[0] for r in got] == [None, "", "a b", "R&D", "A &lt;", "1 < 2 & 3", "&#0;"]
+
+
+def test_a_rotation_page_is_parsed_once(spark, monkeypatch):
+    calls = []
+    parse = match_pages.rotation_rows
+    monkeypatch.setattr(match_pages, "rotation_rows", lambda pages: calls.append(1) or parse(pages))
+    pages = spark.createDataFrame(
+        [("m1", "<a>", "<b>", "<c>")],
+        "regatta string, races string, rotation string, report string")
+    monkeypatch.setattr(catalog_pages.rendered, "match_pages", lambda spark, sf: pages)
+    assert catalog_pages.matches_from_pages(spark, "").count() == 0
+    assert calls == [1]
