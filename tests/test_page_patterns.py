@@ -82,3 +82,14 @@ def test_a_rotation_page_is_parsed_once(spark, monkeypatch):
     monkeypatch.setattr(catalog_pages.rendered, "match_pages", lambda spark, sf: pages)
     assert catalog_pages.matches_from_pages(spark, "").count() == 0
     assert calls == [1]
+
+
+def test_settings_of_the_queries_do_not_stay_for_the_corpus_operators(spark):
+    from windlass.llm.common import prepare
+    from windlass.session import QUERY_SETTINGS, apply_settings
+
+    defaults = [spark.conf.get(k) for k in QUERY_SETTINGS if not spark.conf.unset(k)]
+    apply_settings(spark, query=True)
+    assert [spark.conf.get(k) for k in QUERY_SETTINGS] == list(QUERY_SETTINGS.values())
+    prepare(spark)
+    assert [spark.conf.get(k) for k in QUERY_SETTINGS] == defaults
